@@ -9,9 +9,11 @@ a tier are dealt into step groups of equal tokens, balanced by their attention c
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +21,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import require
-from .textkernel import Words, slices
+from .textkernel import Words, slices, text_bytes
 
-TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 300_000
+TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 4_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, word by word, with the distinct words of a batch encoded once.
+    """Token ids of whole texts, with the distinct words of a batch encoded once.
 
-    Right for tokenizers whose pre-tokeniser splits at white space and drops it.
+    Right for tokenizers that lower-case, drop white space and part ASCII letters and digits from other
+    ASCII punctuation than the apostrophe. Texts that may hold a special token's string are split
+    at white space only and not folded, so the tokenizer finds it.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.at: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.at.clear()
+        self.at: dict[int, int] = {}
         self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows one after the other, and the offset of each row in them."""
-        words = Words(column)
-        keys, first, which = np.unique(words.hashes(lower=False), return_index=True, return_inverse=True)
+        raw = text_bytes(column)[0].tobytes()
+        plain = b"<|" not in raw
+        words = Words(column, cut=plain)
+        keys, first, which = np.unique(words.hashes(lower=plain), return_index=True, return_inverse=True)
         if len(self.at) > CACHE:
             self.clear()
-        known, raw = self.at, words.raw.tobytes()
-        slots = [known.get(k, -1) for k in keys.tolist()]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
-        got = [e.ids for e in self.tokenizer.encode_batch([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in new], add_special_tokens=False)]
-        base = len(self.sizes)
-        for k, i in enumerate(new):
-            slots[i] = known[int(keys[i])] = base + k
+        known = self.at
+        slots = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        new = np.flatnonzero(slots < 0)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)], add_special_tokens=False)]
+        slots[new] = np.arange(len(new)) + len(self.sizes)
+        known.update(zip(keys[new].tolist(), slots[new].tolist(), strict=True))
         self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, got), np.int64, len(got))))
-        self.pool = np.concatenate((self.pool, np.fromiter((x for ids in got for x in ids), np.int32)))
-        pool_at = np.concatenate(([0], np.cumsum(self.sizes)))
-        slot = np.array(slots, np.int64)[which] if len(which) else np.zeros(0, np.int64)
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.int32)))
+        pool_at = np.cumsum(self.sizes) - self.sizes
+        slot = slots[which]
         sizes = self.sizes[slot]
         after = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.repeat(pool_at[slot] - after[:-1], sizes) + np.arange(after[-1])]
@@ -175,7 +179,7 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
         names_type = None
         for batch in batches:
             names_type = batch.column(0).type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, offs = tokenize(part.column(1))
                 for k, name in enumerate(part.column(0).to_pylist()):
                     rows.append((name, np.append(ids[offs[k] : offs[k + 1]], np.int32(end))))

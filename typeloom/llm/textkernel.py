@@ -23,6 +23,8 @@ _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: 1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe, 0: all else.
+_KIND = np.array([1 if chr(i).isalnum() else 2 if 32 < i < 127 and i != 39 else 0 for i in range(128)] + [0] * 128, np.uint8)
 _powers: list[np.ndarray] = []
 
 
@@ -69,9 +71,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SEGMENT) -> Iterator[pa
 
 
 class Words:
-    """starts, ends: byte positions of words in raw; first: index of each row's first word (rows + 1 entries)."""
+    """starts, ends: byte positions of words in raw; first: index of each row's first word (rows + 1 entries).
 
-    def __init__(self, column: pa.Array):
+    cut: words also end between an ASCII letter or digit and ASCII punctuation other than an apostrophe.
+    """
+
+    def __init__(self, column: pa.Array, cut: bool = False):
         self.raw, self.offs = text_bytes(column)
         raw, n = self.raw, len(self.raw)
         space = _SPACE[raw]
@@ -81,6 +86,11 @@ class Words:
         if n:
             begins[1:] &= space[:-1] | edge[1:n]
             stops[:-1] &= space[1:] | edge[1:n]
+        if cut and n:
+            kind = _KIND[raw]
+            split = (kind[1:] ^ kind[:-1]) == 3
+            begins[1:] |= split
+            stops[:-1] |= split
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, self.offs)
