@@ -91,8 +91,9 @@ def _sketch(words: int, bands: int, rows: int):
     return run
 
 
-def _links_within(texts: list[str], words: int, numerator: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= numerator * union, on full sets."""
+def _links_within(texts: list[str], known: list[int], words: int, numerator: int) -> list[tuple[int, int]]:
+    """Pairs with 100 * intersection >= numerator * union, on full sets, that join what `known`, the
+    components so far, keeps apart: a spanning forest at most."""
     sets, offs = shingles(Words(pa.array(texts, pa.large_string())), words)
     sizes, n = np.diff(offs), len(texts)
     owner = np.repeat(np.arange(n), sizes)
@@ -111,7 +112,8 @@ def _links_within(texts: list[str], words: int, numerator: int) -> list[tuple[in
     both = both.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - both
     one, two = np.nonzero(np.triu(100 * both >= numerator * union, 1) & (sizes[:, None] > 0))
-    root = list(range(n))
+    least: dict[int, int] = {}
+    root = [least.setdefault(c, i) for i, c in enumerate(known)]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -129,35 +131,39 @@ def _links_within(texts: list[str], words: int, numerator: int) -> list[tuple[in
 
 def _verify(words: int, numerator: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].tolist()
-        found = _links_within(group["text"].tolist(), words, numerator)
-        return pd.DataFrame({"a": [min(nodes[i], nodes[j]) for i, j in found], "b": [max(nodes[i], nodes[j]) for i, j in found]}, dtype="int64")
+        group = group.sort_values(["own", "node"])  # so tasks that share block 0 find the same links in it
+        known = group["component"].tolist()
+        found = _links_within(group["text"].tolist(), known, words, numerator)
+        return pd.DataFrame({"a": [min(known[i], known[j]) for i, j in found], "b": [max(known[i], known[j]) for i, j in found]}, dtype="int64")
 
     return run
 
 
-def _links(members: DataFrame, texts: DataFrame, words: int, numerator: int, block: int, rest: bool) -> DataFrame:
-    """Verified links inside the groups of members (hub, node), as pairs (a, b).
+def _links(members: DataFrame, texts: DataFrame, words: int, numerator: int, block: int, every: bool) -> DataFrame:
+    """Verified links inside the groups of members (hub, node, component), as pairs (a, b) of components.
 
-    A group is dealt into blocks of about `block` nodes by a hash of the node. First every block is
+    A group is dealt into blocks of about `block` nodes by a hash of the node. Every block is
     compared with itself and with block 0, work that grows in proportion to the group; with
-    `rest`, the other pairs of blocks are compared. A task holds two blocks at most.
+    `every`, all pairs of blocks are compared. A task holds two blocks at most.
     """
     sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    if rest:
-        sizes = sizes.where("blocks > 2")
     spread = members.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("i"), F.greatest(j, F.col("i")).alias("j")))
-    if rest:
-        tasks = F.filter(others, lambda t: (t["i"] != t["j"]) & (F.col("i") > 0))
-    else:
-        zero = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0))), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j")))
-        tasks = F.when(F.col("i") == 0, zero).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("i").alias("j"))))
-    tasks = spread.select("hub", "node", F.explode(tasks).alias("t"))
-    full = tasks.join(texts, "node").select("hub", "t.i", "t.j", "node", "text")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("i"), F.greatest(j, F.col("i")).alias("j")))
+    tasks = others if every else F.when(F.col("i") == 0, others).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("i").alias("j"))))
+    tasks = spread.select("hub", "node", "component", F.col("i").alias("own"), F.explode(tasks).alias("t"))
+    full = tasks.join(texts.hint("merge"), "node").select("hub", "t.i", "t.j", "own", "node", "component", "text")
     return full.groupBy("hub", "i", "j").applyInPandas(_verify(words, numerator), "a long, b long")
 
 
+def _joined(stars: DataFrame) -> DataFrame:
+    """stars (star, hub, node) with each hub replaced by the least hub that it shares a bucket with itself,
+    so the many stars of one cluster become one group; star keeps the bucket's own hub."""
+    if "star" not in stars.columns:
+        stars = stars.select(F.col("hub").alias("star"), "hub", "node")
+    upper = stars.groupBy(F.col("node").alias("hub")).agg(F.min("hub").alias("upper"))
+    return stored(stars.join(upper, "hub").select("star", F.least("hub", "upper").alias("hub"), "node"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rk (the row's key) for every row of docs (doc_id, text).
 
@@ -179,19 +185,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     sets = stored(able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.first("bands").alias("bands")).select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.rk").alias("node"), "bands"))
     banded = sets.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    stars = stored(banded.join(hubs, "band").select("hub", "node").distinct())
-    wanted = stars.select("node").distinct()
-    texts = stored(base.select(F.col("rk").alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    links = stored(_links(stars, texts, words, numerator, block, False))
-    labels = connected_components(links)
-    # Groups of several blocks that are not yet one component have all other pairs compared too.
-    named = stars.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("n") > 2 * block).where("lo <> hi").select("hub")
-    split = stored(split)
-    if split.limit(1).count():
-        more = _links(stars.join(split, "hub", "left_semi"), texts, words, numerator, block, True)
-        labels = connected_components(stored(links.unionByName(more)))
+    # The joins that carry most rows are merge joins at every size, so their cost grows in proportion.
+    stars = stored(banded.join(hubs.hint("merge"), "band").select("hub", "node").distinct())
+    texts = stored(base.select(F.col("rk").alias("node"), "text").join(stars.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    groups = _joined(_joined(stars))
+    members = stored(groups.select("hub", "node").distinct())
+    labels = connected_components(_links(members.withColumn("component", F.col("node")), texts, words, numerator, block, False))
     named = sets.select("h1", "h2", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Two nodes of one bucket are in one group. Groups of more than two blocks had only some pairs of
+    # blocks compared: their buckets that are not yet one component have all pairs compared.
+    large = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > block).select("hub")
+    doubtful = groups.join(large, "hub", "left_semi").select(F.col("star").alias("hub"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = stored(doubtful.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub"))
+    if split.limit(1).count():
+        joined = connected_components(_links(doubtful.join(split, "hub", "left_semi").distinct(), texts, words, numerator, block, True))
+        named = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_set = stored(named.join(least, "component").select("h1", "h2", "component_id"))
     linked = able.select("rk", "doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "rk")
