@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     rounds. Labels are stored in the shared folder each round; none reach the driver. No edges
     give no rows; self-loops and repeated edges change nothing. Raises if `rounds` don't suffice.
     """
-    pairs = edges.select("a", "b").where("a <> b")
+    pairs = stored(edges.select("a", "b").where("a <> b"))
     both = stored(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(rounds):
