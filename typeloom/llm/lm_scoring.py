@@ -111,7 +111,7 @@ def score(docs: DataFrame, in_domain: DataFrame, order: int = ORDER, size: int =
     """
     require(docs, "doc_id", "text")
     points = vocabulary(docs, size)
-    marked = docs.select("doc_id", "text").join(in_domain.select("doc_id", F.lit(True).alias("in_domain")).where("doc_id is not null").distinct(), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(in_domain.select("doc_id", F.lit(True).alias("in_domain")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left")
     counts = ngram_counts(marked, points, order, size)
     found = stored(counts).toArrow()  # at most size ** order rows
     dense = np.zeros((2, size**order), np.int64)
