@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import require
-from .textkernel import code_points, slices
+from .textkernel import code_points, slices, trimmed
 
 UNKNOWN = "und"
 #: Fitting reads at most this many rows a language, and this many characters of them.
 ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 256, 16_384
-CLASSES, LANE, SLICE = 56, 512, 4_000_000
+CLASSES, LANE, SLICE = 56, 512, 1_500_000
 _OTHER, _PAD = CLASSES - 2, CLASSES - 1
 _cache: dict[int, tuple] = {}
 
@@ -137,14 +137,15 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
     """A training text for each lang of labelled (doc_id, text, lang), from a bounded sample.
 
     The sample is the `rows` documents with the smallest hash of each language, each giving
-    an equal share of at most `chars` characters; null lang or text takes no part. The result
+    its first characters, four times an equal share of `chars` (256 at least), until `chars` are together; null lang or text takes no part. The result
     (languages x chars characters) is the whole model; automata are built where they are used.
     """
     require(labelled, "doc_id", "text", "lang")
-    usable = labelled.where("lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("text"))
+    share = max(256, 4 * chars // rows)
+    usable = labelled.where("lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, share).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     found: dict[str, list[str]] = {}
-    for lang, text in usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", F.substring("text", 1, max(256, 4 * chars // rows)).alias("text")).collect():
+    for lang, text in usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "text").collect():
         found.setdefault(lang, []).append(text)
     return {lang: "\n".join(texts)[:chars] for lang, texts in found.items()}
 
@@ -161,6 +162,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     samples = dict(sorted(samples.items()))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):

@@ -57,4 +57,4 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     gone = hits.groupBy(F.col("rk").alias(key)).agg(F.collect_set("at").alias("_typeloom_gone"))
     left = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("_typeloom_gone", i))
     cleaned = F.when(F.col("_typeloom_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return keyed.join(gone, key, "left").select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.coalesce(F.size("_typeloom_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return keyed.join(gone.hint("merge"), key, "left").select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.coalesce(F.size("_typeloom_gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, stored
-from .textkernel import code_points, slices
+from .textkernel import code_points, slices, trimmed
 
 ORDER, VOCABULARY = 4, 48
 _EDGE, _OTHER = 0, 1
@@ -31,6 +31,7 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
     """The size - 2 most frequent lower-cased code points of all texts; ties go to the smaller."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
@@ -71,6 +72,7 @@ def _table(points: list[int]) -> np.ndarray:
 def ngram_counts(docs: DataFrame, points: list[int], order: int = ORDER, size: int = VOCABULARY) -> DataFrame:
     """(code, background, target) over docs (text, in_domain): every n-gram with its counts."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _table(points), np.zeros((2, size**order), np.int64)
         for batch in batches:
@@ -118,6 +120,7 @@ def score(docs: DataFrame, in_domain: DataFrame, order: int = ORDER, size: int =
     dense[:, found["code"].to_numpy()] = np.stack([found["background"].to_numpy(), found["target"].to_numpy()])
     models = docs.sparkSession.sparkContext.broadcast(np.stack([losses(d, size, order) for d in dense]))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = _table(points), models.value
         for batch in batches:

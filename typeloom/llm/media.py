@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, stored
-from .textkernel import slices
+from .textkernel import slices, trimmed
 
 WIDTH, FILL, LEVEL, SCHEME = 192, b" ", 1, "media:sha256-"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -139,6 +139,7 @@ def sequences(pages: DataFrame, id_column: str) -> DataFrame:
     """id, sequence (SEQUENCE) for each row of pages (id, html); null or empty html gives an empty sequence."""
     require(pages, id_column, "html")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
         for batch in batches:
@@ -151,6 +152,7 @@ def sequences(pages: DataFrame, id_column: str) -> DataFrame:
 def media_table(payloads: DataFrame) -> DataFrame:
     """digest, media: the stored table of payloads (digest, payload) as PNG images, written to the shared folder."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -167,6 +169,7 @@ def features(media: DataFrame) -> DataFrame:
     Raises if the samples don't have the digest they are stored under.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -81,7 +81,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, period: int | None
     plan = stored(shares(weights, period))
     times = F.broadcast(stored(schedule(plan, period).join(plan, "source")))  # period rows
     # A bucket is 1/4096 of a source at random, so a hot source is ranked by thousands of tasks.
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id"))).join(before.drop("n"), ["source", "bucket"]).withColumn("i", F.col("i") + F.col("before") - 1)
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id"))).join(before.drop("n").hint("merge"), ["source", "bucket"]).withColumn("i", F.col("i") + F.col("before") - 1)
     blocks = ranked.withColumn("block", F.floor(F.col("i") / block_rows)).join(plan.withColumnRenamed("n", "m"), "source").withColumn("k", F.col("block") % F.col("m")).withColumn("lap", F.floor(F.col("block") / F.col("m")))
     placed = blocks.join(times, ["source", "k"]).withColumn("at", F.col("lap") * period + F.col("slot"))
     return placed.select("doc_id", "source", "block", F.floor(F.col("block") * period / F.col("m")).alias("release"), F.ceil((F.col("block") + 1) * period / F.col("m")).alias("deadline"), F.col("at").alias("slot"), (F.col("at") * block_rows + F.col("i") % block_rows).alias("place"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import require, row_key, stored
 from .components import connected_components
-from .textkernel import U, Words, mix, shingles, slices
+from .textkernel import U, Words, mix, shingles, slices, trimmed
 
 BANDS, ROWS, WORDS, NUMERATOR, BLOCK = 32, 4, 5, 80, 256
 _UNSET = np.uint32(0xFFFFFFFF)
@@ -75,6 +75,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _sketch(words: int, bands: int, rows: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

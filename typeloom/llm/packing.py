@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import require
-from .textkernel import Words, slices, text_bytes
+from .textkernel import Words, slices, text_bytes, trimmed
 
-TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 4_000_000
+TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 300_000, 3_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
@@ -153,6 +153,7 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = WordTokenizer(tokenizer)
         where = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40

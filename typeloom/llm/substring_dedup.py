@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, row_key
-from .textkernel import _ODD, U, Words, mix, slices
+from .textkernel import _ODD, U, Words, mix, slices, trimmed
 
 SPAN, PIECE, LEAST_WORDS = 2, 25, 10
 _STOP = np.zeros(256, bool)
@@ -38,6 +38,7 @@ def sentence_starts(words: Words, piece: int = PIECE) -> np.ndarray:
 
 
 def _runs(span: int, piece: int, least: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -65,6 +66,7 @@ def _runs(span: int, piece: int, least: int):
 
 
 def _removed(piece: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -99,6 +101,6 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     runs = base.mapInArrow(_runs(span, piece, least_words), f"rk long, doc_id {kind}, at int, h1 long, h2 long")
     me = F.struct("doc_id", "rk", "at")
     first = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"))
-    again = runs.join(first, ["h1", "h2"]).where("rk <> rk0 or at <> at0")
+    again = runs.join(first.hint("merge"), ["h1", "h2"]).where("rk <> rk0 or at <> at0")
     gone = again.select("rk", F.explode(F.sequence("at", F.col("at") + (span - 1))).alias("s")).groupBy("rk").agg(F.collect_set("s").alias("gone"))
-    return base.join(gone, "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
+    return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")

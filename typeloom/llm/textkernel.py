@@ -7,12 +7,15 @@ time, so a very long text costs memory for its words only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT, SLICE = 1 << 19, 1 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -28,6 +31,20 @@ _KIND = np.array([1 if chr(i).isalnum() else 2 if 32 < i < 127 and i != 39 else
 _powers: list[np.ndarray] = []
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a partition, whose freed memory goes back to the system at its end: workers are used again."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+            ctypes.CDLL(libc).malloc_trim(0)
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     x = x ^ (x >> U(30))
@@ -60,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text; a longer text stands alone."""
     _, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))
     i, n = 0, batch.num_rows
