@@ -56,7 +56,9 @@ def decode_png(image: bytes) -> bytes:
         raise ValueError("not a PNG image")
     at, shape, packed = 8, None, []
     while at < len(image):
-        (size,) = struct.unpack_from(">I", image, at)
+        size = int.from_bytes(image[at : at + 4], "big")
+        if at + size + 12 > len(image):
+            raise ValueError("a chunk is cut off")
         kind, data = image[at + 4 : at + 8], image[at + 8 : at + 8 + size]
         if zlib.crc32(data, zlib.crc32(kind)) != struct.unpack_from(">I", image, at + 8 + size)[0]:
             raise ValueError("a chunk is damaged")
