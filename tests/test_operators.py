@@ -164,3 +164,19 @@ def test_lookup():
         lookup.parse_index("x")
     assert lookup.neighbour(0, -1, 5) == 4
     assert "+b" in lookup.difference("a", "b")
+
+
+def test_stream_of_checks(spark, tmp_path):
+    from typeloom.operators.programs import TypeChecker
+    from typeloom.streaming.checkpointed import check_new_files
+
+    class Short(TypeChecker):
+        def check(self, content):
+            return len(content) < 5, ""
+
+    done = io.Checkpoint(spark, f"{tmp_path}/done")
+    for rows in ([("a", "let x"), ("b", "y")], [("b", "other text"), ("c", "z")]):
+        spark.createDataFrame(rows, "hexsha string, content string").write.mode("append").parquet(f"{tmp_path}/in")
+        files = spark.readStream.schema("hexsha string, content string").parquet(f"{tmp_path}/in")
+        check_new_files(files, done, Short(), f"{tmp_path}/state").awaitTermination(120)
+    assert sorted((r.hexsha, r.ok) for r in done.done().collect()) == [("a", False), ("b", True), ("c", True)]
