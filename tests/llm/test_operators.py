@@ -104,21 +104,28 @@ def test_components(spark):
 def brute_spans(rows, span, piece, least):
     done, seen, gone = {}, {}, {}
     for i, t in rows:
-        sentences, now, line_end = [], [], False
-        at = 0
+        sentences, now, since, at = [], [], 0, 0
         raw = (t or "").encode()
         for w in raw.split():
             start = raw.index(w, at)
-            if now and (now[-1][-1:] in (b".", b"!", b"?") or b"\n" in raw[at:start]) or len(now) == piece:
+            ends = bool(now) and (now[-1][-1:] in (b".", b"!", b"?") or b"\n" in raw[at:start])
+            since = 0 if ends else since
+            if ends or now and since > piece and int(textkernel.Words(pa.array([now[-1].decode()])).hashes()[0]) % substring_dedup.CUT == 0:
                 sentences.append(now)
                 now = []
             now.append(w)
+            since += 1
             at = start + len(w)
         done[i] = [*sentences, now] if now else sentences
-    runs = [(i, p, tuple(x.lower() for s in ss[p : p + span] for x in [b"|", *s])) for i, ss in done.items() for p in range(len(ss) - span + 1) if sum(map(len, ss[p : p + span])) >= least]
-    for i, p, r in sorted(runs, key=lambda x: x[:2]):
+    runs = []
+    for i, ss in done.items():
+        for p in range(len(ss)):
+            n = next((n for n in range(span, len(ss) - p + 1) if sum(map(len, ss[p : p + n])) >= least), None)
+            if n:
+                runs.append((i, p, n, tuple(x.lower() for s in ss[p : p + n] for x in [b"|", *s])))
+    for i, p, n, r in sorted(runs, key=lambda x: x[:2]):
         if r in seen:
-            gone.setdefault(i, set()).update(range(p, p + span))
+            gone.setdefault(i, set()).update(range(p, p + n))
         else:
             seen[r] = (i, p)
     return {i: (len(done[i]), len(gone.get(i, ())), [b" ".join(s).decode() for n, s in enumerate(done[i]) if n not in gone.get(i, ())]) for i, _ in rows}
@@ -128,10 +135,13 @@ def test_repeated_spans(spark):
     passage = ". ".join(" ".join(words(9)).capitalize() for _ in range(6)) + "."
     long = " ".join(words(120))
     rows = [(i, " ".join(" ".join(words(7)) + "." for _ in range(4)) + f" {passage if i % 2 else long} Tail {i} here we go on.\nShort.") for i in range(12)]
+    bare = " ".join(words(60))
+    rows += [(60 + i, f"{' '.join(words(3 + 7 * i))} {bare} {' '.join(words(9))}") for i in range(6)]
     rows += [(50, None), (51, ""), (52, passage), (53, passage.upper()), (54, "Short. Short. Short. Short."), (55, long)]
     got = {r.doc_id: (r.n_sentences, r.n_removed, (r.text or "").split()) for r in substring_dedup.remove_repeated_spans(frame(spark, rows, "doc_id long, text string")).collect()}
     want = brute_spans(rows, substring_dedup.SPAN, substring_dedup.PIECE, substring_dedup.LEAST_WORDS)
     assert {i: (a, b, " ".join(t)) for i, (a, b, t) in got.items()} == {i: (a, b, " ".join(t)) for i, (a, b, t) in want.items()}
+    assert all(got[60 + i][1] >= 2 for i in range(1, 6))
     assert got[52][1] == 6 and got[53][1] == 6 and got[54][1] == 0 and got[1][1] == 0 and got[3][1] == 6
 
 

@@ -1,8 +1,9 @@
 """Repeated passages removed by sliding spans of sentences.
 
-A sentence ends at `.`, `!` or `?` before white space, at a line's end, or after PIECE words (so a
-long passage always holds several). Every run of SPAN consecutive sentences is hashed to 128
-bits, runs are joined globally by hash, and a sentence covered by any repeated run that isn't
+A sentence ends at `.`, `!` or `?` before white space and at a line's end. In a sentence of over
+PIECE words a further end follows every later word whose hash says so (one in CUT), so a long
+passage without punctuation holds several that don't depend on where it stands. From every
+sentence the shortest run of at least SPAN sentences and LEAST_WORDS words is hashed to 128 bits, runs are joined globally by hash, and a sentence covered by any repeated run that isn't
 the run's first occurrence (by doc_id, row key, position) is removed.
 """
 
@@ -16,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, row_key
-from .textkernel import _ODD, U, Words, mix, slices, trimmed
+from .textkernel import _ODD, U, Words, mix, power_tables, slices, trimmed
 
-SPAN, PIECE, LEAST_WORDS = 2, 25, 10
+SPAN, PIECE, CUT, LEAST_WORDS = 2, 25, 6, 10
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
-def sentence_starts(words: Words, piece: int = PIECE) -> np.ndarray:
-    """Index of the first word of each sentence."""
+def sentence_starts(words: Words, hashes: np.ndarray, piece: int = PIECE, cut: int = CUT) -> np.ndarray:
+    """Index of the first word of each sentence; hashes: words.hashes()."""
     n = len(words.starts)
     if not n:
         return np.zeros(0, np.int64)
@@ -34,7 +35,8 @@ def sentence_starts(words: Words, piece: int = PIECE) -> np.ndarray:
     begins[words.first[:-1][words.first[:-1] < n]] = True
     at = np.flatnonzero(begins)
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    return np.flatnonzero(place % piece == 0)
+    begins[1:] |= (place[1:] > piece) & (hashes[:-1] % U(cut) == 0)
+    return np.flatnonzero(begins)
 
 
 def _runs(span: int, piece: int, least: int):
@@ -43,24 +45,26 @@ def _runs(span: int, piece: int, least: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(2))
-                at = sentence_starts(words, piece)
-                if not len(at):
+                hashes = words.hashes()
+                at = sentence_starts(words, hashes, piece)
+                many = len(at)
+                if not many:
                     continue
                 ends = np.append(at[1:], len(words.starts))
                 place = np.arange(len(words.starts)) - np.repeat(at, ends - at)
-                code = mix(np.add.reduceat(words.hashes() * _ODD[place], at) + (ends - at).astype(np.uint64))
+                code = mix(np.add.reduceat(hashes * (mix(place.astype(np.uint64) + _ODD[0]) | U(1)), at) + (ends - at).astype(np.uint64))
                 row = np.searchsorted(words.first, at, "right") - 1
-                many = len(at) - span + 1
-                if many < 1:
-                    continue
-                one, two = np.zeros(many, np.uint64), np.zeros(many, np.uint64)
-                for k in range(span):
-                    one += code[k : k + many] * _ODD[k]
-                    two += code[k : k + many] * _ODD[31 + k]
-                keep = (row[:many] == row[span - 1 :]) & (ends[span - 1 :] - at[:many] >= least)
-                own = row[:many][keep]
-                position = np.arange(many) - np.searchsorted(row, row[:many])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(position[keep].astype(np.int32)), pa.array(mix(one)[keep].view(np.int64)), pa.array(mix(two + U(1))[keep].view(np.int64))], ["rk", "doc_id", "at", "h1", "h2"])
+                first = np.arange(many)
+                last = np.maximum(np.searchsorted(ends, at + least), first + span - 1)
+                own = np.flatnonzero((last < many) & (row[np.minimum(last, many - 1)] == row))
+                size = (last - first + 1)[own]
+                power, inverse = power_tables(many + 1)
+                both = []
+                for salt in (_ODD[1], _ODD[2]):
+                    total = np.concatenate(([U(0)], np.cumsum(mix(code + salt) * power[:many])))
+                    both.append(mix((total[last[own] + 1] - total[own]) * inverse[own] + size.astype(np.uint64) * salt).view(np.int64))
+                position = first - np.searchsorted(row, row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), part.column(1).take(pa.array(row[own])), pa.array(position[own].astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, both)], ["rk", "doc_id", "at", "size", "h1", "h2"])
 
     return run
 
@@ -71,7 +75,7 @@ def _removed(piece: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(1))
-                at = sentence_starts(words, piece)
+                at = sentence_starts(words, words.hashes(), piece)
                 of = np.searchsorted(at, words.first)
                 texts, gone = part.column(1).to_pylist(), part.column(2).to_pylist()
                 for r, out in enumerate(gone):
@@ -89,7 +93,7 @@ def _removed(piece: int):
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text without repeated spans, n_sentences, n_removed for each row of docs (doc_id, text).
 
-    Runs of fewer than least_words words are never matched. Words compare with A-Z lower-cased and by any
+    A run ends inside its document, so its last sentences start none if too little follows. Words compare with A-Z lower-cased and by any
     white space. The first occurrence stays everywhere, so a passage survives once. Null text stays
     null with 0 sentences; an empty text stays empty; where all sentences go, the text is empty.
     Repeated rows (same doc_id and text) count as one occurrence and are treated alike; rows of
@@ -98,9 +102,9 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     require(docs, "doc_id", "text")
     base = docs.select(row_key("doc_id", "text").alias("rk"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = base.mapInArrow(_runs(span, piece, least_words), f"rk long, doc_id {kind}, at int, h1 long, h2 long")
+    runs = base.mapInArrow(_runs(span, piece, least_words), f"rk long, doc_id {kind}, at int, size int, h1 long, h2 long")
     me = F.struct("doc_id", "rk", "at")
     first = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"))
     again = runs.join(first.hint("merge"), ["h1", "h2"]).where("rk <> rk0 or at <> at0")
-    gone = again.select("rk", F.explode(F.sequence("at", F.col("at") + (span - 1))).alias("s")).groupBy("rk").agg(F.collect_set("s").alias("gone"))
+    gone = again.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("s")).groupBy("rk").agg(F.collect_set("s").alias("gone"))
     return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")

@@ -54,7 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse, n at least."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, SEGMENT)
         _powers[:] = [np.concatenate(([U(1)], np.multiply.accumulate(np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
@@ -121,7 +122,7 @@ class Words:
             at = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, at + SEGMENT, "right")))
             s, e = self.starts[i:j] - at, self.ends[i:j] - at
-            power, inverse = _power_tables(int(e[-1]) + 1)
+            power, inverse = power_tables(int(e[-1]) + 1)
             total = np.zeros(int(e[-1]) + 1, np.uint64)
             np.cumsum(table[self.raw[at : at + e[-1]]] * power[: e[-1]], out=total[1:])
             out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * _ODD[63])
