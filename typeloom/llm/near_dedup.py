@@ -147,8 +147,8 @@ def _links(members: DataFrame, texts: DataFrame, words: int, numerator: int, blo
     compared with itself and with block 0, work that grows in proportion to the group; with
     `every`, all pairs of blocks are compared. A task holds two blocks at most.
     """
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    spread = members.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    large = stored(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > block).select("hub", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
+    spread = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("i"), F.greatest(j, F.col("i")).alias("j")))
     tasks = others if every else F.when(F.col("i") == 0, others).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("i").alias("j"))))
     tasks = spread.select("hub", "node", "component", F.col("i").alias("own"), F.explode(tasks).alias("t"))
@@ -161,7 +161,7 @@ def _joined(stars: DataFrame) -> DataFrame:
     so the many stars of one cluster become one group; star keeps the bucket's own hub."""
     if "star" not in stars.columns:
         stars = stars.select(F.col("hub").alias("star"), "hub", "node")
-    upper = stars.groupBy(F.col("node").alias("hub")).agg(F.min("hub").alias("upper"))
+    upper = stored(stars.groupBy(F.col("node").alias("hub")).agg(F.min("hub").alias("upper")))  # stored, so a hot hub's side can be split
     return stored(stars.join(upper, "hub").select("star", F.least("hub", "upper").alias("hub"), "node"))
 
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     if split.limit(1).count():
         joined = connected_components(_links(doubtful.join(split, "hub", "left_semi").distinct(), texts, words, numerator, block, True))
         named = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     of_set = stored(named.join(least, "component").select("h1", "h2", "component_id"))
     linked = able.select("rk", "doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "rk")
     alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "rk")
