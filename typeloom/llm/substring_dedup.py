@@ -78,14 +78,16 @@ def _removed(piece: int):
                 at = sentence_starts(words, words.hashes(), piece)
                 of = np.searchsorted(at, words.first)
                 texts, gone = part.column(1).to_pylist(), part.column(2).to_pylist()
+                removed = [0] * len(texts)
                 for r, out in enumerate(gone):
                     if out:
+                        drop = {i for run in out for i in range(run >> 32, (run >> 32) + (run & 0xFFFFFFFF))}
+                        removed[r] = len(drop)
                         begin, end = int(words.offs[r]), int(words.offs[r + 1])
                         cuts = [*words.starts[at[of[r] : of[r + 1]]].tolist(), end]
-                        drop = set(out)
                         left = [words.raw[begin : cuts[0]]] + [words.raw[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1) if i not in drop]
                         texts[r] = np.concatenate(left).tobytes().decode("utf-8").rstrip() if len(drop) < len(cuts) - 1 else ""
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(of)), pa.array([len(x or ()) for x in gone], pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(of)), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
     return run
 
@@ -106,5 +108,6 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     me = F.struct("doc_id", "rk", "at")
     first = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"))
     again = runs.join(first.hint("merge"), ["h1", "h2"]).where("rk <> rk0 or at <> at0")
-    gone = again.select("rk", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("s")).groupBy("rk").agg(F.collect_set("s").alias("gone"))
+    # One number for each run, position and size; the positions it covers are spread out where the text is.
+    gone = again.select("rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy("rk").agg(F.collect_list("s").alias("gone"))
     return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
