@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import require
 from .textkernel import Words, slices, text_bytes, trimmed
 
-TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 500_000, 6_000_000
+TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 700_000, 6_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
@@ -70,6 +70,17 @@ class WordTokenizer:
         return ids, after[words.first]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """The worker's tokenizer of this file, with the words it has met in earlier tasks."""
+    if path not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def pack(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Windows (length, [(document, start, length)]) that hold every token of documents of these sizes once."""
     top, done = tiers[0], []
@@ -155,7 +166,7 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(tokenizer)
+        tokenize = tokenizer_for(tokenizer)
         where = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         rows: list[tuple[object, np.ndarray]] = []
         held, sequences, groups = 0, where, where
