@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import require
 from .textkernel import Words, slices, text_bytes, trimmed
 
-TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 700_000, 6_000_000
+TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 6_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
