@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import require
 from .textkernel import Words, slices, text_bytes, trimmed
 
-TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 6_000_000
+TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE, ENCODED = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 1_500_000, 4_096
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
@@ -43,8 +43,18 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words, sorted by key
+        self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the words raw[starts:ends], ENCODED at a time."""
+        sizes, ids = [self.sizes[:0]], [self.pool[:0]]
+        for at in range(0, len(starts), ENCODED):
+            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at : at + ENCODED].tolist(), ends[at : at + ENCODED].tolist(), strict=True)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows one after the other, and the offset of each row in them."""
@@ -52,20 +62,20 @@ class WordTokenizer:
         plain = b"<|" not in raw
         words = Words(column, cut=plain)
         keys, first, which = np.unique(words.hashes(lower=plain), return_index=True, return_inverse=True)
-        if len(self.at) > CACHE:
+        if len(self.keys) > CACHE:
             self.clear()
-        known = self.at
-        slots = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(slots < 0)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)], add_special_tokens=False)]
-        slots[new] = np.arange(len(new)) + len(self.sizes)
-        known.update(zip(keys[new].tolist(), slots[new].tolist(), strict=True))
-        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, got), np.int64, len(got))))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.int32)))
-        pool_at = np.cumsum(self.sizes) - self.sizes
-        slot = slots[which]
+        place = np.searchsorted(self.keys, keys)
+        held = place < len(self.keys)
+        held[held] = self.keys[place[held]] == keys[held]
+        new = np.flatnonzero(~held)
+        added = np.arange(len(new)) + len(self.sizes)
+        sizes, ids = self._encode(raw, words.starts[first[new]], words.ends[first[new]])
+        self.keys, self.slots = np.insert(self.keys, place[new], keys[new]), np.insert(self.slots, place[new], added)
+        self.sizes, self.pool = np.concatenate((self.sizes, sizes)), np.concatenate((self.pool, ids))
+        slot = self.slots[np.searchsorted(self.keys, keys)][which]
         sizes = self.sizes[slot]
         after = np.concatenate(([0], np.cumsum(sizes)))
+        pool_at = np.cumsum(self.sizes) - self.sizes
         ids = self.pool[np.repeat(pool_at[slot] - after[:-1], sizes) + np.arange(after[-1])]
         return ids, after[words.first]
 
