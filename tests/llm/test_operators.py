@@ -320,6 +320,21 @@ def test_pack():
         assert all(t <= 16_384 for t in total.values())
 
 
+def test_word_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "ENCODED", 7)
+    plain, own = Tokenizer.from_file(queries.tokenizer_path()), packing.WordTokenizer(queries.tokenizer_path())
+    marks = [*"aBz09.,;!?'\"-_/<>|&#@ \t\n\x0b\x1c\x85", "'s", "'LL", "n't", "\u00a0", "\u2014", "\u2019", "\u0301", "\u0338", "\u00c9", "\u0130", "\u00df", "\u4e2d", "\u00bd", "\u0663", "\U0001f600", "\u200d", "\ufb01", "\u212a", "<|endoftext|>"]
+    for k in range(300):
+        some = marks if k % 3 == 0 else marks[:-1]
+        texts = [None, ""] + ["".join(DRAW.choices(some, k=DRAW.randrange(40))) for _ in range(4)]
+        ids, offs = own(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[offs[i] : offs[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_packed_query(spark, tmp_path):
     from tokenizers import Tokenizer
 
