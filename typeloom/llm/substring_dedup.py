@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, row_key
+from .common import require, row_key, stored
 from .textkernel import _ODD, U, Words, mix, power_tables, slices, trimmed
 
-SPAN, PIECE, CUT, LEAST_WORDS = 2, 25, 6, 10
+SPAN, PIECE, CUT, LEAST_WORDS, HOT = 2, 25, 6, 10, 1_000
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -106,8 +106,20 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = base.mapInArrow(_runs(span, piece, least_words), f"rk long, doc_id {kind}, at int, size int, h1 long, h2 long")
     me = F.struct("doc_id", "rk", "at")
-    first = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"))
-    again = runs.join(first.hint("merge"), ["h1", "h2"]).where("rk <> rk0 or at <> at0")
+    repeated = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = stored(repeated.select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"), "n"))
+    # A run with over 1 / HOT of the repeated rows (fewer than HOT runs) is dealt over several keys, each of about that share.
+    share = F.ceil(F.col("n") * HOT / F.lit(first.agg(F.sum("n")).first()[0] or 1)).cast("int")
+    dealt = first.withColumn("deals", share)
+    hot = F.broadcast(stored(dealt.where("deals > 1").select("h1", "h2", "deals")))
+
+    def key(deal: Column) -> Column:
+        return F.when(F.col("deals") > 1, F.xxhash64("h2", deal)).otherwise(F.col("h2")).alias("key")
+
+    mine = F.pmod(F.xxhash64("rk", "at"), F.col("deals")).cast("int")
+    keyed = runs.join(hot, ["h1", "h2"], "left").select("rk", "at", "size", "h1", key(mine))
+    firsts = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", key(F.col("deal")), "rk0", "at0")
+    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where("rk <> rk0 or at <> at0")
     # One number for each run, position and size; the positions it covers are spread out where the text is.
     gone = again.select("rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy("rk").agg(F.collect_list("s").alias("gone"))
     return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
