@@ -381,3 +381,33 @@ def test_scores(spark):
         assert r.n_tokens == len(stream) - 2
         assert r.loss_background == pytest.approx(loss(every, stream), abs=1e-4) and r.loss_target == pytest.approx(loss(mine, stream), abs=1e-4)
         assert r.score == pytest.approx(r.loss_background - r.loss_target, abs=1e-9)
+
+
+def test_word_scores(spark):
+    """Every word counts, in any script, however many blocks the rows are dealt into."""
+    rare = ["\u0436\u0443\u043a \u0438\u0434\u0451\u0442", "\u043c\u0430\u043c\u0430 \u043c\u044b\u043b\u0430", "\u9f98\u9f96", "\u9f99\u9f97"]
+    rows = [(i, " ".join(words(5 + 3 * i)) + ", Bee.") for i in range(12)] + [(20 + i, t) for i, t in enumerate(rare)] + [(30, None), (31, ""), (None, "a b"), (0, "again a"), (3, "b b b")]
+    target = spark.createDataFrame([(0,), (3,), (3,), (20,), (22,), (None,), (99,)], "doc_id int")
+    split = lambda t: "".join(f" {c} " if c in ",." or c > "\u9000" else c for c in (t or "").lower()).split()
+    streams = [(i, t, ["", *split(t), ""]) for i, t in rows]
+
+    def model(own):
+        return Counter(w for s in own for w in s[:-1]), Counter(p for s in own for p in zip(s, s[1:], strict=False))
+
+    every, mine = model([s for _, _, s in streams]), model([s for i, _, s in streams if i in (0, 3, 20, 22)])
+
+    def loss(counts, stream):
+        of, pairs = counts
+        mass = lambda c: max(1, c**lm_scoring.HEAPS)
+        total, bits = sum(of.values()), 0.0
+        for v, w in zip(stream, stream[1:], strict=False):
+            single = (of[w] + mass(total) * every[0][w] / sum(every[0].values())) / (total + mass(total))
+            bits -= math.log2((pairs[v, w] + mass(of[v]) * single) / (of[v] + mass(of[v])))
+        return bits / (len(stream) - 1)
+
+    want = sorted((i is None, i or 0, len(s) - 1, round(loss(mine, s), 6), round(loss(every, s), 6)) for i, _, s in streams)
+    for size in (10**6, 60):
+        got = lm_scoring.score_words(frame(spark, rows, "doc_id long, text string"), target, size).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.loss_target, 6), round(r.loss_background, 6)) for r in got) == want
+        by_id = {r.doc_id: r.score for r in got}
+        assert by_id[20] > by_id[21] and by_id[22] > by_id[23]

@@ -73,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score(_table(spark, sf_dir, "documents"), good)
+    return lm_scoring.score_words(_table(spark, sf_dir, "documents"), good)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,6 +29,11 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: 1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe, 0: all else.
 _KIND = np.array([1 if chr(i).isalnum() else 2 if 32 < i < 127 and i != 39 else 0 for i in range(128)] + [0] * 128, np.uint8)
 _powers: list[np.ndarray] = []
+#: Leading bytes in UTF-8 of kana and ideographs, and leading pairs of Thai, Lao, Myanmar and Khmer.
+_GLYPH = np.zeros(256, bool)
+_GLYPH[[*range(0xE3, 0xEA), 0xF0]] = True
+_GLYPH_PAIR = np.zeros((2, 256), bool)
+_GLYPH_PAIR[0, 0xB8:0xBC] = _GLYPH_PAIR[1, 0x80:0x83] = _GLYPH_PAIR[1, 0x9E:0xA0] = True
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -92,9 +97,10 @@ class Words:
     """starts, ends: byte positions of words in raw; first: index of each row's first word (rows + 1 entries).
 
     cut: words also end between an ASCII letter or digit and ASCII punctuation other than an apostrophe.
+    glyphs: every character of a script written without blanks is a word.
     """
 
-    def __init__(self, column: pa.Array, cut: bool = False):
+    def __init__(self, column: pa.Array, cut: bool = False, glyphs: bool = False):
         self.raw, self.offs = text_bytes(column)
         raw, n = self.raw, len(self.raw)
         space = _SPACE[raw]
@@ -109,6 +115,15 @@ class Words:
             split = (kind[1:] ^ kind[:-1]) == 3
             begins[1:] |= split
             stops[:-1] |= split
+        if glyphs and n and raw.max() >= 0xE0:
+            at = np.flatnonzero((raw & 0xC0) != 0x80)
+            lead, after = raw[at], raw[np.minimum(at + 1, n - 1)]
+            glyph = _GLYPH[lead] | (lead == 0xE0) & _GLYPH_PAIR[0, after] | (lead == 0xE1) & _GLYPH_PAIR[1, after]
+            glyph[1:] |= glyph[:-1]  # the character after one begins a word as well
+            split = at[glyph & ~space[at]]
+            begins[split] = True
+            split = split[split > 0] - 1
+            stops[split[~space[split]]] = True
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, self.offs)
