@@ -259,6 +259,26 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_short_samples_do_not_win(spark):
+    german, english = "der die das und nicht ein eine ist auf von mit f\u00fcr ".split(), "the of and to in is that it was for on are ".split()
+    say = lambda own, n: " ".join(DRAW.choice(own) for _ in range(n))
+    rows = [(i, say(german if i % 2 else english, 400), "de" if i % 2 else "en") for i in range(40)]
+    short = [(100, "ok", "aa"), (101, "-" * 256, "ab"), (102, "1" * 256 + " ok " + "=" * 300, "ac"), (103, "e", "ad"), (104, "the quick brown fox jumps over the lazy dog", "ae")]
+    samples = language_id.learn(spark.createDataFrame(rows + short, "doc_id long, text string, lang string"))
+    assert sorted(samples) == ["aa", "ac", "ad", "ae", "de", "en"] and samples["ac"] == "ok"
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), samples).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_samples_spread_over_rows_and_texts(spark):
+    letters = [chr(ord("a") + k) for k in range(20)]
+    rows = [(i, "".join(c * 200 for c in letters), "x") for i in range(300)] + [(500, "-" * 4000 + "zz", "y")]
+    samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=8, chars=8 * 128)
+    assert samples["y"] == "zz" and len(samples["x"]) == 8 * 128
+    whole = language_id.learn(spark.createDataFrame(rows[:4], "doc_id long, text string, lang string"))
+    assert len(set(whole["x"]) & set(letters)) >= language_id.PIECES
+
+
 def test_url_rules(spark):
     rules = queries.URL_RULES
     urls = ["http://a.example.com/en/742?x=/y", "http://example.com/en/1", "HTTP://EXAMPLE.COM/en/", "https://b.example.net/de/81#t", "https://x.net/de/8", "ftp://org/es/1", "http://xorg/es/1", "http://sub.x.org/es/", "//no", None, "", "http://", "http://example.com", "a://b://c/d", "http://h?/en/", "http://example.com/EN/7"] * 2

@@ -2,8 +2,9 @@
 
 The automaton of a language accepts exactly the substrings of its training text. A document
 is parsed greedily into the longest phrases found there (Ziv and Merhav's cross-parsing);
-phrases * log2(training length) / document length estimates the cross entropy, and the
-language that needs the fewest normalised phrases wins.
+phrases * log2(training length) / document length estimates the cross entropy, and the language
+that needs the fewest bits wins. No phrase costs less than a letter of the common alphabet, and a
+symbol that a sample lacks costs a phrase of the longest sample, so a short sample has no advantage.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .textkernel import code_points, slices, trimmed
 UNKNOWN = "und"
 #: Fitting reads at most this many rows a language, and this many characters of them.
 ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 256, 16_384
+#: A row gives at most this many pieces, spread over its whole text.
+PIECES = 16
 CLASSES, LANE, SLICE = 56, 512, 1_500_000
 _OTHER, _PAD = CLASSES - 2, CLASSES - 1
 _cache: dict[int, tuple] = {}
@@ -108,12 +111,12 @@ def _machines(samples: dict[str, str]) -> tuple:
     return _cache[key]
 
 
-def cross_parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised phrases (rows x languages), symbols of each row, whether it has a letter.
+def _parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases and symbols absent from the sample (rows x languages), symbols of each row, whether it has a letter.
 
     Whole texts are parsed in lanes of LANE symbols side by side; a lane starts a new phrase.
     """
-    languages, classes, table, roots, bits = _machines(samples)
+    languages, classes, table, roots, _ = _machines(samples)
     symbols, offs, letter = _fold(texts, classes)
     sizes = np.diff(offs)
     lanes = -(-sizes // LANE)
@@ -128,32 +131,55 @@ def cross_parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, n
         move = table[state * CLASSES + column]
         phrases += move & 3
         state = move >> 2
+    if not len(sizes):
+        return np.zeros((0, len(languages))), np.zeros((0, len(languages))), sizes, letter
     owner = np.repeat(np.arange(len(sizes)), lanes)
-    total = np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1) if len(sizes) else np.zeros((0, len(languages)))
-    return total * bits / np.maximum(sizes, 1)[:, None], sizes, letter
+    seen = np.bincount(row * CLASSES + symbols, minlength=len(sizes) * CLASSES).reshape(-1, CLASSES)
+    absent = (table.reshape(-1, CLASSES)[roots] >> 2 == roots[:, None]) & (np.arange(CLASSES) != _PAD)
+    return np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1), seen @ absent.T.astype(np.int64), sizes, letter
+
+
+def cross_parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised phrases (rows x languages), symbols of each row, whether it has a letter."""
+    phrases, _, sizes, letter = _parse(texts, samples)
+    return phrases * _machines(samples)[-1] / np.maximum(sizes, 1)[:, None], sizes, letter
+
+
+def costs(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits a symbol (rows x languages), whether a row has a letter. Every language is charged alike for what its sample lacks."""
+    phrases, absent, sizes, letter = _parse(texts, samples)
+    bits = _machines(samples)[-1]
+    least = np.log2(1 + len({c for text in samples.values() for c in text.lower() if c.isalpha()}))
+    own = np.maximum(bits, least)
+    return (phrases * own + absent * (own.max() - own)) / np.maximum(sizes, 1)[:, None], letter
 
 
 def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> dict[str, str]:
     """A training text for each lang of labelled (doc_id, text, lang), from a bounded sample.
 
-    The sample is the `rows` documents with the smallest hash of each language, each giving
-    its first characters, four times an equal share of `chars` (256 at least), until `chars` are together; null lang or text takes no part. The result
+    The sample is the `rows` documents with the smallest hash of each language. Of each, runs of other
+    characters than letters count as one blank, and up to PIECES pieces of an equal share of `chars` (64 at least)
+    are spread over the whole text. All rows give their first piece, then all their second, until
+    `chars` are together; null lang, null or letterless text takes no part. The result
     (languages x chars characters) is the whole model; automata are built where they are used.
     """
     require(labelled, "doc_id", "text", "lang")
-    share = max(256, 4 * chars // rows)
-    usable = labelled.where("lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, share).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    found: dict[str, list[str]] = {}
-    for lang, text in usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "text").collect():
-        found.setdefault(lang, []).append(text)
-    return {lang: "\n".join(texts)[:chars] for lang, texts in found.items()}
+    share = max(64, chars // rows)
+    usable = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), F.trim(F.regexp_replace("text", "\\P{L}+", " ")).alias("text")).where("text <> ''")
+    sized = usable.withColumn("size", F.length("text")).withColumn("many", F.least(F.lit(PIECES), F.ceil(F.col("size") / share)).cast("int"))
+    gap = (F.col("size") - share) / F.greatest(F.col("many") - 1, F.lit(1))
+    pieces = sized.select("lang", "h", F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.substring("text", F.greatest(F.lit(1), F.floor(k * gap).cast("int") + 1), F.lit(share))).alias("pieces"))
+    order = Window.partitionBy("lang").orderBy("h", "pieces")
+    found: dict[str, list[list[str]]] = {}
+    for lang, own in pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "pieces").collect():
+        found.setdefault(lang, []).append(own)
+    return {lang: "\n".join(own[k] for k in range(PIECES) for own in texts if k < len(own))[:chars] for lang, texts in found.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs (any columns, among them text) with lang_pred and score, one row for each.
 
-    score is 1 - best / second best of the normalised phrase counts, 0 to 1. Null, empty or
+    score is 1 - best / second best of the bits needed, 0 to 1. Null, empty or
     letterless text, or no samples at all: `und` and 0. Ties go to the first language by name.
     Existing columns lang_pred and score are replaced. Row order and other columns stay.
     """
@@ -168,7 +194,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 if samples:
-                    bits, _, letter = cross_parse(part.column(part.schema.get_field_index("text")), samples)
+                    bits, letter = costs(part.column(part.schema.get_field_index("text")), samples)
                     two = np.sort(bits, 1)[:, :2]
                     best = bits.argmin(1)
                     languages = list(samples)
