@@ -270,6 +270,22 @@ def test_short_samples_do_not_win(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+def test_large_alphabets_are_told_apart(spark):
+    """Ideographs of which a sample holds each a few times at most, against Hangul and two Latin alphabets."""
+    ideographs, hangul = [chr(0x4E00 + 7 * k) for k in range(2000)], [chr(0xAC00 + 5 * k) for k in range(1500)]
+    own = {"ja": [chr(0x3041 + k) for k in range(80)], "ko": hangul, "zh": ideographs, "de": list("abcdefghijklmnopqrstuvwxyz"), "ru": [chr(0x430 + k) for k in range(32)]}
+    rows = [(k * 1000 + i, "".join(DRAW.choice(letters) for _ in range(100)), lang) for k, (lang, letters) in enumerate(own.items()) for i in range(80)]
+    samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = Counter(samples["zh"])
+    rare = [c for c in ideographs if c not in seen or seen[c] <= 3]
+    texts = [(i, "".join(DRAW.choice(rare) for _ in range(50)), "zh") for i in range(100)] + [(200 + i, "".join(DRAW.choice(hangul) for _ in range(50)), "ko") for i in range(20)] + rows
+    got = language_id.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), samples).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    first, second, _ = language_id._alphabet(samples)
+    letters = sorted({ord(c) for t in samples.values() for c in t if c.isalpha()})
+    assert len({(first[c], second[c]) for c in letters}) == len(letters) > 3000
+
+
 def test_samples_spread_over_rows_and_texts(spark):
     letters = [chr(ord("a") + k) for k in range(20)]
     rows = [(i, "".join(c * 200 for c in letters), "x") for i in range(300)] + [(500, "-" * 4000 + "zz", "y")]

@@ -9,6 +9,7 @@ symbol that a sample lacks costs a phrase of the longest sample, so a short samp
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ UNKNOWN = "und"
 ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 256, 16_384
 #: A row gives at most this many pieces, spread over its whole text.
 PIECES = 16
-CLASSES, LANE, SLICE = 56, 512, 1_500_000
-_OTHER, _PAD = CLASSES - 2, CLASSES - 1
+#: So many letters have one symbol each; rarer ones of a sample have two, dealt in the order of their code points.
+SINGLES, LANE, SLICE = 53, 512, 1_500_000
+#: A letter of no sample shares the first symbol of a rarer one this near by.
+NEAR = 64
 _cache: dict[int, tuple] = {}
 
 
@@ -62,52 +65,95 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def _fold(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fold(texts: pa.Array, classes: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of lower-cased texts (runs of non-letters are one 0), offsets, whether a row has a letter."""
     points, offs = code_points(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
-    symbols = classes[np.minimum(points, len(classes) - 1)]
+    points = np.minimum(points, len(classes) - 1)
+    symbols = classes[points]
     keep = symbols > 0
     letters = np.concatenate(([0], np.cumsum(keep)))[offs]
     keep[1:] |= symbols[:-1] > 0
     keep[offs[:-1][offs[:-1] < len(symbols)]] = True
     before = np.concatenate(([0], np.cumsum(keep)))
-    return symbols[keep], before[offs], np.diff(letters) > 0
-
-
-def _alphabet(samples: dict[str, str]) -> np.ndarray:
-    classes = np.zeros(0x110000, np.uint8)
+    symbols, offs = symbols[keep], before[offs]
+    more = second[points[keep]]
+    if more.any():
+        at = np.concatenate(([0], np.cumsum(1 + (more > 0))))
+        both = np.empty(at[-1], symbols.dtype)
+        both[at[:-1]] = symbols
+        both[at[1:][more > 0] - 1] = more[more > 0]
+        symbols, offs = both, at[offs]
+    return symbols, offs, np.diff(letters) > 0
+
+
+def _alphabet(samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first and second symbol (0: none) of every code point, and the number of symbols.
+
+    0 is what isn't a letter, 1 a letter of no sample. The SINGLES most frequent letters have a symbol
+    each; the others two of about the square root of their number, so all letters of the samples differ.
+    """
     count = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-    letters = np.fromiter((chr(i).isalpha() for i in range(len(classes))), bool, len(classes))
-    classes[letters] = _OTHER
-    for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: _OTHER - 1]):
-        classes[ord(c)] = k + 1
-    return classes
+    ranked = [ord(c) for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
+    rare = np.array(sorted(ranked[SINGLES:]), np.int64)
+    side = math.isqrt(max(0, len(rare) - 1)) + 1 if len(rare) else 0
+    singles = min(SINGLES, len(ranked))
+    symbols = 2 + singles + (2 * side + 1 if side else 0)
+    first, second = (np.zeros(0x110000, np.min_scalar_type(symbols)) for _ in range(2))
+    letters = np.flatnonzero(np.fromiter((chr(i).isalpha() for i in range(len(first))), bool, len(first)))
+    first[letters] = 1
+    if side:
+        place = np.searchsorted(rare, letters)
+        low, high = np.maximum(place - 1, 0), np.minimum(place, len(rare) - 1)
+        near = np.where(np.abs(letters - rare[low]) <= np.abs(letters - rare[high]), low, high)
+        close = np.abs(letters - rare[near]) <= NEAR
+        first[letters[close]] = 2 + singles + near[close] // side
+        second[letters[close]] = symbols - 1
+        first[rare] = 2 + singles + np.arange(len(rare)) // side
+        second[rare] = 2 + singles + side + np.arange(len(rare)) % side
+    for k, c in enumerate(ranked[:SINGLES]):
+        first[c], second[c] = 2 + k, 0
+    return first, second, symbols
 
 
 def _machines(samples: dict[str, str]) -> tuple:
-    """(languages, classes, table, roots, bits): one table for all automata, next = state << 2 | phrases ended."""
+    """(languages, alphabet, table, roots, columns, bits): one table for all automata.
+
+    A state is the place of its row in the table; a row has a column for each symbol of its sample, one for
+    all others (0) and one for padding (the last). columns: of every symbol and padding for each language. An entry
+    is next state << 2 | phrases ended.
+    """
     key = hash(tuple(samples.items()))
     if key not in _cache:
-        classes = _alphabet(samples)
-        tables, roots, bits, base = [], [], [], 0
+        first, second, many = _alphabet(samples)
+        tables, roots, columns, bits, base = [], [], [], [], 0
         for text in samples.values():
-            symbols, _, _ = _fold(pa.array([text]), classes)
-            moves = suffix_automaton(symbols.tolist())
-            table = np.full((len(moves), CLASSES), -1, np.int64)
+            symbols, _, _ = _fold(pa.array([text]), first, second)
+            own = np.unique(symbols)
+            own = own[own != 1]
+            column = np.zeros(many + 1, np.int32)
+            column[own] = np.arange(1, len(own) + 1)
+            column[many] = width = len(own) + 1
+            width += 1
+            moves = suffix_automaton(column[symbols].tolist())
+            table = np.full((len(moves), width), -1, np.int64)
             for state, out in enumerate(moves):
                 for c, to in out.items():
-                    table[state, c] = (base + to) << 2
+                    table[state, c] = (base + to * width) << 2
+            table[:, 0] = -1
             root = table[0].copy()
             fresh = np.where(root >= 0, root | 1, base << 2 | 2)
             table = np.where(table >= 0, table, fresh)
             table[0] = np.where(root >= 0, root, base << 2 | 1)
-            table[:, _PAD] = (base + np.arange(len(moves))) << 2
-            tables.append(table)
+            table[:, -1] = (base + np.arange(len(moves)) * width) << 2
+            tables.append(table.astype(np.int32).reshape(-1))
             roots.append(base)
+            columns.append(column)
             bits.append(np.log2(max(2, len(symbols))))
-            base += len(moves)
+            base += table.size
+            if base >= 1 << 29:
+                raise ValueError(f"the automata of {len(samples)} languages don't fit one table; give fewer characters of each")
         _cache.clear()
-        _cache[key] = (list(samples), classes, np.concatenate(tables).astype(np.int32).reshape(-1), np.array(roots, np.int32), np.array(bits))
+        _cache[key] = (list(samples), (first, second), np.concatenate(tables), np.array(roots, np.int32), np.stack(columns), np.array(bits))
     return _cache[key]
 
 
@@ -116,27 +162,27 @@ def _parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.nda
 
     Whole texts are parsed in lanes of LANE symbols side by side; a lane starts a new phrase.
     """
-    languages, classes, table, roots, _ = _machines(samples)
-    symbols, offs, letter = _fold(texts, classes)
+    languages, alphabet, table, roots, columns, _ = _machines(samples)
+    symbols, offs, letter = _fold(texts, *alphabet)
     sizes = np.diff(offs)
     lanes = -(-sizes // LANE)
     first = np.concatenate(([0], np.cumsum(lanes)))
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(symbols)) - offs[row]
-    grid = np.full((LANE, int(first[-1])), _PAD, np.uint8)
+    pad = columns.shape[1] - 1
+    grid = np.full((LANE, int(first[-1])), pad, np.min_scalar_type(pad))
     grid[place % LANE, first[row] + place // LANE] = symbols
     state = np.repeat(roots[:, None], grid.shape[1], 1)
     phrases = np.ones(state.shape, np.int32)
-    for column in grid:
-        move = table[state * CLASSES + column]
+    for symbol in grid:
+        move = table[state + columns[:, symbol]]
         phrases += move & 3
         state = move >> 2
     if not len(sizes):
         return np.zeros((0, len(languages))), np.zeros((0, len(languages))), sizes, letter
     owner = np.repeat(np.arange(len(sizes)), lanes)
-    seen = np.bincount(row * CLASSES + symbols, minlength=len(sizes) * CLASSES).reshape(-1, CLASSES)
-    absent = (table.reshape(-1, CLASSES)[roots] >> 2 == roots[:, None]) & (np.arange(CLASSES) != _PAD)
-    return np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1), seen @ absent.T.astype(np.int64), sizes, letter
+    absent = np.stack([np.bincount(row, (c == 0)[symbols], len(sizes)) for c in columns], 1)
+    return np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1), absent, sizes, letter
 
 
 def cross_parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
