@@ -151,6 +151,29 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 2)]
 
 
+def test_passages_of_51_words_are_always_found(spark):
+    """Whatever stands before them, with and without punctuation, and in a script without blanks."""
+    rows = []
+    for k in range(120):
+        one, two = " ".join(words(27)), " ".join(words(24))
+        shared = f"{one}. {two}." if k % 2 else f"{one} {two}"
+        rows += [(10 * k, f"{' '.join(words(30))}. {shared} {' '.join(words(5))}"), (10 * k + 1, f"{' '.join(words(10 + k))} {shared} {' '.join(words(9))}")]
+    han = lambda n: "".join(chr(DRAW.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    for k in range(120, 140):
+        shared = han(51 if k % 2 else 300)
+        rows += [(10 * k, han(40) + shared + "\u3002" + han(9)), (10 * k + 1, han(7 + k) + shared + han(20))]
+    rows += [(5000, " ".join(words(300))), (5001, "same " * 15), (5002, None), (5003, " ")]
+    texts = dict(rows)
+    for r in substring_dedup.remove_repeated_spans(frame(spark, rows, "doc_id long, text string"), passage=51).collect():
+        twice = r.doc_id % 10 == 1 and r.doc_id < 5000
+        assert (r.n_removed > 0) == twice, r.doc_id
+        if twice:
+            finer = textkernel.Words(pa.array([texts[r.doc_id], r.text]), glyphs=True)
+            assert np.diff(finer.first)[0] - np.diff(finer.first)[1] >= substring_dedup.GRAM
+        else:
+            assert r.text == texts[r.doc_id]
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     vectors = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((300, 16)))]

@@ -28,7 +28,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"))
+    found = substring_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), passage=substring_dedup.PASSAGE)
     return found.withColumn("changed", F.col("n_removed") > 0)
 
 

@@ -1,10 +1,15 @@
-"""Repeated passages removed by sliding spans of sentences.
+"""Repeated passages removed by sliding spans of sentences, and by word n-grams wherever they stand.
 
 A sentence ends at `.`, `!` or `?` before white space and at a line's end. In a sentence of over
 PIECE words a further end follows every later word whose hash says so (one in CUT), so a long
 passage without punctuation holds several that don't depend on where it stands. From every
 sentence the shortest run of at least SPAN sentences and LEAST_WORDS words is hashed to 128 bits, runs are joined globally by hash, and a sentence covered by any repeated run that isn't
 the run's first occurrence (by doc_id, row key, position) is removed.
+
+Runs depend on what stands before a passage, so n-grams of GRAM words are hashed as well: of every
+`passage` - GRAM + 1 neighbouring ones that with the smallest hash (winnowing), so two texts that share
+`passage` words share a hash, whatever surrounds them. The words of a repeated n-gram are removed
+as sentences are. Here every character of a script without blanks is a word.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from .common import require, row_key, stored
 from .textkernel import _ODD, U, Words, mix, power_tables, slices, trimmed
 
 SPAN, PIECE, CUT, LEAST_WORDS, HOT = 2, 25, 6, 10, 1_000
+GRAM, PASSAGE = 20, 51
+#: Added to the size of a run that counts words, not sentences.
+_IN_WORDS = 1 << 30
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -39,7 +47,46 @@ def sentence_starts(words: Words, hashes: np.ndarray, piece: int = PIECE, cut: i
     return np.flatnonzero(begins)
 
 
-def _runs(span: int, piece: int, least: int):
+def _extreme(of: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """of (minimum or maximum) over x[i : i + size] for each i; shorter at the end."""
+    x, done = x.copy(), 1
+    while done < size:
+        step = min(done, size - done)
+        kept = max(0, len(x) - step)
+        x[:kept] = of(x[:kept], x[step:])
+        done += step
+    return x
+
+
+def winnowed(words: Words, passage: int, gram: int = GRAM) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Index of the first word of each chosen n-gram, and two hashes of it.
+
+    Of every passage - gram + 1 neighbouring n-grams of a row (all, if it has fewer) the smallest are chosen.
+    """
+    n, width = len(words.starts), passage - gram + 1
+    hashes = words.hashes()
+    power, inverse = power_tables(n + 1)
+    both = []
+    for salt in (_ODD[3], _ODD[4]):
+        total = np.concatenate(([U(0)], np.cumsum(mix(hashes + salt) * power[:n])))
+        both.append(mix((total[gram:] - total[: max(0, n + 1 - gram)]) * inverse[: max(0, n + 1 - gram)] + salt))
+    code = both[0]
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[: len(code)]
+    first, last = words.first[:-1][row], words.first[1:][row] - gram  # of the row's n-grams
+    at = np.arange(len(code))
+    least = _extreme(np.minimum, code, width)
+    chosen = np.where(at + width - 1 <= last, least, U(0))
+    chosen = _extreme(np.maximum, chosen[::-1], width)[::-1]  # the largest minimum of the windows that hold an n-gram
+    few = np.flatnonzero((at == first) & (at <= last) & (last - first + 1 < width))
+    for i in few.tolist():
+        chosen[i : last[i] + 1] = code[i : last[i] + 1].min()
+    own = np.flatnonzero((code == chosen) & (at <= last))
+    return own, [b[own].view(np.int64) for b in both]
+
+
+def _runs(span: int, piece: int, least: int, passage: int | None):
+    names = ["rk", "doc_id", "at", "size", "h1", "h2"]
+
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,6 +97,11 @@ def _runs(span: int, piece: int, least: int):
                 many = len(at)
                 if not many:
                     continue
+                if passage:
+                    finer = Words(part.column(2), glyphs=True)
+                    own, both = winnowed(finer, passage)
+                    row = np.searchsorted(finer.first, own, "right") - 1
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((own - finer.first[row]).astype(np.int32)), pa.array(np.full(len(own), GRAM + _IN_WORDS, np.int32)), *map(pa.array, both)], names)
                 ends = np.append(at[1:], len(words.starts))
                 place = np.arange(len(words.starts)) - np.repeat(at, ends - at)
                 code = mix(np.add.reduceat(hashes * (mix(place.astype(np.uint64) + _ODD[0]) | U(1)), at) + (ends - at).astype(np.uint64))
@@ -64,7 +116,7 @@ def _runs(span: int, piece: int, least: int):
                     total = np.concatenate(([U(0)], np.cumsum(mix(code + salt) * power[:many])))
                     both.append(mix((total[last[own] + 1] - total[own]) * inverse[own] + size.astype(np.uint64) * salt).view(np.int64))
                 position = first - np.searchsorted(row, row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), part.column(1).take(pa.array(row[own])), pa.array(position[own].astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, both)], ["rk", "doc_id", "at", "size", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), part.column(1).take(pa.array(row[own])), pa.array(position[own].astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, both)], names)
 
     return run
 
@@ -78,21 +130,26 @@ def _removed(piece: int):
                 at = sentence_starts(words, words.hashes(), piece)
                 of = np.searchsorted(at, words.first)
                 texts, gone = part.column(1).to_pylist(), part.column(2).to_pylist()
+                finer = Words(part.column(1), glyphs=True) if any(run & _IN_WORDS for out in gone if out for run in out) else words
                 removed = [0] * len(texts)
                 for r, out in enumerate(gone):
                     if out:
-                        drop = {i for run in out for i in range(run >> 32, (run >> 32) + (run & 0xFFFFFFFF))}
-                        removed[r] = len(drop)
                         begin, end = int(words.offs[r]), int(words.offs[r + 1])
-                        cuts = [*words.starts[at[of[r] : of[r + 1]]].tolist(), end]
-                        left = [words.raw[begin : cuts[0]]] + [words.raw[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1) if i not in drop]
-                        texts[r] = np.concatenate(left).tobytes().decode("utf-8").rstrip() if len(drop) < len(cuts) - 1 else ""
+                        cuts = np.append(words.starts[at[of[r] : of[r + 1]]], end)
+                        parts = np.append(finer.starts[finer.first[r] : finer.first[r + 1]], end)
+                        drop = np.zeros(end - begin, bool)
+                        for run in out:
+                            places, i, size = (parts, run >> 32, run & (_IN_WORDS - 1)) if run & _IN_WORDS else (cuts, run >> 32, run & 0xFFFFFFFF)
+                            drop[places[i] - begin : places[i + size] - begin] = True
+                        removed[r] = int(np.logical_or.reduceat(drop, cuts[:-1] - begin).sum())
+                        left = words.raw[begin:end][~drop].tobytes().decode("utf-8").rstrip()
+                        texts[r] = left if not drop[cuts[0] - begin :].all() else ""
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(of)), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
     """doc_id, text without repeated spans, n_sentences, n_removed for each row of docs (doc_id, text).
 
     A run ends inside its document, so its last sentences start none if too little follows. Words compare with A-Z lower-cased and by any
@@ -100,11 +157,16 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     null with 0 sentences; an empty text stays empty; where all sentences go, the text is empty.
     Repeated rows (same doc_id and text) count as one occurrence and are treated alike; rows of
     one doc_id with different texts are told apart. Null doc_ids come first. Other columns are ignored.
+    passage: so many words (more than GRAM) that two places share are always found, though up to
+    passage - GRAM of them may stay at either end; n_removed counts sentences that lose a word.
+    None: runs of sentences only. A text's n-gram that overlaps its own first occurrence stays.
     """
     require(docs, "doc_id", "text")
+    if passage is not None and passage <= GRAM:
+        raise ValueError(f"a passage must have more than {GRAM} words")
     base = docs.select(row_key("doc_id", "text").alias("rk"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = base.mapInArrow(_runs(span, piece, least_words), f"rk long, doc_id {kind}, at int, size int, h1 long, h2 long")
+    runs = base.mapInArrow(_runs(span, piece, least_words, passage), f"rk long, doc_id {kind}, at int, size int, h1 long, h2 long")
     me = F.struct("doc_id", "rk", "at")
     repeated = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count("*").alias("n")).where("first <> last")
     first = stored(repeated.select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"), "n"))
@@ -119,7 +181,7 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     mine = F.pmod(F.xxhash64("rk", "at"), F.col("deals")).cast("int")
     keyed = runs.join(hot, ["h1", "h2"], "left").select("rk", "at", "size", "h1", key(mine))
     firsts = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", key(F.col("deal")), "rk0", "at0")
-    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where("rk <> rk0 or at <> at0")
+    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where(f"rk <> rk0 or abs(at - at0) >= if(size >= {_IN_WORDS}, size - {_IN_WORDS}, 1)")
     # One number for each run, position and size; the positions it covers are spread out where the text is.
     gone = again.select("rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy("rk").agg(F.collect_list("s").alias("gone"))
     return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
