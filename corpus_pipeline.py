@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site lines but for their first occurrence; n_chars follows the text."""
-    cleaned = line_dedup.without_boilerplate(docs)
+    """All documents, without cross-site lines of any length but for their first occurrence; n_chars follows the text."""
+    cleaned = line_dedup.without_boilerplate(docs, least_chars=1)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -43,6 +43,14 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept
 
 
+def test_short_boilerplate_goes_in_the_pipeline(spark):
+    rows = [(i, f"Own line {i}\nAccept all cookies\n---\n}}\nEnd of {i}", None, f"site{i}", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, SF).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].text == f"Own line {i}\n---\n}}\nEnd of {i}" for i in range(1, 12))
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 @pytest.mark.parametrize("name", [n for n in queries.queries() if n != "op3_lsh_forest"])
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "labels"):

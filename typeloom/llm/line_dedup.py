@@ -26,7 +26,7 @@ def _clean(line: Column) -> Column:
 def boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(lines, spread): lines (rk, doc_id, at, h1, h2) of docs (rk, doc_id, site, text), and the hashes
     with at least `sites` distinct sites: h1, h2, n_sites, rk0, at0 (the first occurrence by doc_id)."""
-    exploded = docs.select("rk", "doc_id", "site", F.posexplode(F.transform(_lines(F.col("text")), _clean)).alias("at", "line")).where(F.length("line") >= least_chars)
+    exploded = docs.select("rk", "doc_id", "site", F.posexplode(F.transform(_lines(F.col("text")), _clean)).alias("at", "line")).where((F.length("line") >= least_chars) & ((F.length("line") >= LEAST_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
     lines = exploded.select("rk", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"))
     me = F.struct("doc_id", "rk", "at")
     # A first aggregation folds a hot line's rows to one for each site before its sketch is fed.
@@ -41,7 +41,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     """docs with text cleaned and n_removed (lines gone) added; other columns and rows stay.
 
     A line is compared trimmed, lower-cased, with runs of white space as one blank; shorter ones than
-    least_chars characters never go. keep_first leaves a line's first occurrence (by doc_id, row
+    least_chars characters never go, nor do lines of under LEAST_CHARS without a letter or digit. keep_first leaves a line's first occurrence (by doc_id, row
     key, position) in place, so no content is lost altogether. A null site counts as no site; null
     text stays null, n_removed 0. Repeated rows (same doc_id and text) are one document. An
     existing column n_removed is replaced. Other lines stay byte for byte.
