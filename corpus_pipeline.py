@@ -14,8 +14,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. lang becomes the prediction where it was null."""
+    """Documents with a letter. lang becomes the prediction where it was null, and stays null where no label is there to learn from."""
     samples = language_id.learn(docs.select("doc_id", "text", "lang"))
+    if not samples:
+        return docs.where("text rlike '\\\\p{L}'")
     told = language_id.identify(docs, samples).where(F.col("lang_pred") != language_id.UNKNOWN)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

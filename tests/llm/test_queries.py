@@ -43,6 +43,15 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept
 
 
+def test_documents_without_labels_stay(spark):
+    rows = [(1, "Some words", None), (2, "12 34", None), (3, None, None), (4, "\u4f60", None), (5, "", None), (6, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, docs, SF)
+    assert sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, None), (4, None), (6, None)] and got.columns == docs.columns
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en"))
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, labelled, SF).collect()) == [(1, "en"), (4, "en"), (6, "en")]
+
+
 def test_short_boilerplate_goes_in_the_pipeline(spark):
     rows = [(i, f"Own line {i}\nAccept all cookies\n---\n}}\nEnd of {i}", None, f"site{i}", 0) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
