@@ -11,6 +11,8 @@ from typeloom.llm.queries import tokenizer_path
 
 #: SQL cannot express cross-parsing, SuperMinHash or the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
+#: Tokens packed together: documents of one sequence are at most so far apart in the mix, and one document.
+GROUP_TOKENS = 262_144
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +36,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.withColumn("_typeloom_rk", row_key("doc_id", "text")).join(kept, "_typeloom_rk", "left_semi").select(docs.columns)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the Pfair mix of their sources."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs in the order of the Pfair mix of their sources, in partitions that hold a range of places each, with _typeloom_place."""
     keyed = docs.withColumn("_typeloom_rk", row_key("doc_id", "text"))
     places = mixing.mixed(keyed.select(F.col("_typeloom_rk").alias("doc_id"), "source")).groupBy(F.col("doc_id").alias("_typeloom_rk")).agg(F.min("place").alias("_typeloom_place"))
-    return keyed.join(places, "_typeloom_rk").repartitionByRange("_typeloom_place").sortWithinPartitions("_typeloom_place").select(docs.columns)
+    return keyed.join(places.hint("merge"), "_typeloom_rk").repartitionByRange("_typeloom_place").sortWithinPartitions("_typeloom_place")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the Pfair mix of their sources."""
+    return _placed(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in training sequences."""
-    return packing.packed(docs, tokenizer_path())
+    """The pieces of every document in training sequences, numbered in the order of the mix.
+
+    Files are reread in any order, so the places are rebuilt from the documents. Each partition packs a range
+    of places, in runs of about GROUP_TOKENS tokens.
+    """
+    return packing.packed(_placed(docs), tokenizer_path(), group_tokens=GROUP_TOKENS, in_order=True)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]

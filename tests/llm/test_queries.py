@@ -52,6 +52,26 @@ def test_documents_without_labels_stay(spark):
     assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, labelled, SF).collect()) == [(1, "en"), (4, "en"), (6, "en")]
 
 
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    """However the files of the mix are reread, no document of a later run of tokens comes before one of an earlier."""
+    monkeypatch.setattr(corpus_pipeline, "GROUP_TOKENS", 2048)
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 90}" for k in range(20 + i * 37 % 300)), "en", f"s{i % 7 if i % 3 else 0}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    place = {r.doc_id: r._typeloom_place for r in corpus_pipeline._placed(docs).collect()}
+    docs.repartition(9, F.rand(3)).write.parquet(f"{tmp_path}/mix")
+    pieces = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mix"), SF).collect()
+    assert {r.doc_id for r in pieces} == set(place)
+    tokens = {r.doc_id: r.doc_tokens for r in pieces}
+    rank, at = {}, 0
+    for i in sorted(place, key=place.get):
+        rank[i], at = at, at + tokens[i]
+    # Both orders in tokens: they differ by a run and a document at most.
+    slack, at = 2048 + 2 * max(tokens.values()), 0
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert abs(rank[r.doc_id] + r.start - at) <= slack
+        at += r.length
+
+
 def test_short_boilerplate_goes_in_the_pipeline(spark):
     rows = [(i, f"Own line {i}\nAccept all cookies\n---\n}}\nEnd of {i}", None, f"site{i}", 0) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

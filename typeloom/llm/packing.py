@@ -159,7 +159,7 @@ def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], tokens: i
     return group
 
 
-def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tuple[int, ...] = TIERS, end: int = END, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tuple[int, ...] = TIERS, end: int = END, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, in_order: bool = False) -> DataFrame:
     """One row for each piece: the document's id and PIECES.
 
     docs needs the id column and text. tokenizer is the path of a tokenizers file, the same on all
@@ -167,7 +167,8 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
     packed each by itself; a null id is carried through; no rows give no pieces; other columns are
     ignored. Every partition packs its rows in groups of about group_tokens tokens, so memory is
     bounded and nothing is shuffled; only the end of a group falls below the shortest tier.
-    sequence_id and step_group are unique: partition number and a counter.
+    sequence_id and step_group are unique: partition number and a counter. in_order: the rows' order
+    counts; groups end as soon as they hold group_tokens, and their sequences are numbered by first document.
     """
     require(docs, id_column, "text")
     tiers = tuple(sorted(tiers, reverse=True))
@@ -184,6 +185,8 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
         def flush() -> pa.RecordBatch:
             nonlocal sequences, groups
             windows = pack([len(ids) for _, ids in rows], tiers)
+            if in_order:
+                windows.sort(key=lambda w: min(doc for doc, _, _ in w[1]))
             dealt = step_groups(windows, step_tokens)
             out: list[tuple] = []
             for k, (length, pieces) in enumerate(windows):
@@ -206,6 +209,9 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tiers: tu
                 for k, name in enumerate(part.column(0).to_pylist()):
                     rows.append((name, np.append(ids[offs[k] : offs[k + 1]], np.int32(end))))
                     held += len(rows[-1][1])
+                    if in_order and held >= group_tokens:
+                        yield flush()
+                        rows, held = [], 0
                 if held >= group_tokens:
                     yield flush()
                     rows, held = [], 0
