@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.llm import language_id, line_dedup, mixing, near_dedup, packing
@@ -31,9 +31,17 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("rk").alias("_typeloom_rk"))
-    return docs.withColumn("_typeloom_rk", row_key("doc_id", "text")).join(kept, "_typeloom_rk", "left_semi").select(docs.columns)
+    """One row of each group of near duplicates (five words, 0.8): that with the smallest id, null ids last.
+
+    Rows are linked under their row keys, so rows with null ids take part; of rows equal in doc_id and text one stays.
+    """
+    key, others = "_typeloom_rk", [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    groups = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
+    named = groups.join(keyed.select(key, "doc_id").distinct(), key)
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)).select(key)
+    left = keyed.join(kept, key, "left_semi")
+    return left.withColumn("_typeloom_n", F.row_number().over(Window.partitionBy(key).orderBy(*others, "doc_id"))).where("_typeloom_n = 1").select(docs.columns)
 
 
 def _placed(docs: DataFrame) -> DataFrame:

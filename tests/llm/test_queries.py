@@ -72,6 +72,15 @@ def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
         at += r.length
 
 
+def test_one_row_of_each_group_of_copies(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text + " more", "a"), (None, text, "a"), (None, text, "a"), (None, "other words of a null id here", "a"), (None, "other words of a null id here", "b"), (5, "", "a"), (6, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    left = sorted((r.doc_id or 0, r.text[:5], r.source) for r in got.collect())
+    assert got.columns == docs.columns and left == [(0, "other", "a"), (1, "word0", "a"), (5, "", "a"), (6, "", "a")]
+
+
 def test_short_boilerplate_goes_in_the_pipeline(spark):
     rows = [(i, f"Own line {i}\nAccept all cookies\n---\n}}\nEnd of {i}", None, f"site{i}", 0) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
