@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,14 +18,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = stored(edges.select("a", "b").where("a <> b"))
     both = stored(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    discard(pairs)
+    table = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    labels = table
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("upper"))
         now = stored(hooked.join(up, "component", "left").select("node", F.coalesce(F.least("upper", "component"), "component").alias("component"), "old"))
         moved = now.where("component <> old").limit(1).count()
-        labels = now.select("node", "component")
+        discard(table)
+        table, labels = now, now.select("node", "component")
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

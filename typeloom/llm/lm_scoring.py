@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, row_key, stored
+from .common import require, stored
 from .textkernel import _ODD, U, Words, code_points, mix, slices, trimmed
 
 ORDER, VOCABULARY = 4, 48
@@ -241,8 +241,8 @@ def score_words(docs: DataFrame, in_domain: DataFrame, block_bytes: int = BLOCK_
         return F.pmod(key, F.lit(blocks)).cast("int").alias("block")
 
     kind = docs.schema["doc_id"].dataType
-    mine = docs.select(block(F.when(F.col("doc_id").isNull(), row_key("text")).otherwise(row_key("doc_id"))), "doc_id", "text")
-    good = in_domain.where("doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct().select(block(row_key("doc_id")), "doc_id")
+    mine = docs.select(block(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))), "doc_id", "text")
+    good = in_domain.where("doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct().select(block(F.xxhash64("doc_id")), "doc_id")
     table = "block int, bucket int, counts binary"
     counted = mine.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_counted(buckets), table)
     summed = counted.groupBy("bucket").applyInArrow(_summed, table)

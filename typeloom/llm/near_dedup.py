@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, row_key, stored
+from .common import discard, require, row_key, stored
 from .components import connected_components
 from .textkernel import U, Words, mix, shingles, slices, trimmed
 
 BANDS, ROWS, WORDS, NUMERATOR, BLOCK = 32, 4, 5, 80, 256
+#: Shingles of a block, beyond a single larger text.
+BLOCK_SHINGLES = 400_000
 _UNSET = np.uint32(0xFFFFFFFF)
 
 
@@ -140,15 +142,20 @@ def _verify(words: int, numerator: int):
     return run
 
 
-def _links(members: DataFrame, texts: DataFrame, words: int, numerator: int, block: int, every: bool) -> DataFrame:
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """hub, blocks for the groups of members (hub, node, size) that need more blocks than one."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    return members.groupBy("hub").agg(F.least(blocks, F.count("*")).cast("int").alias("blocks")).where("blocks > 1")
+
+
+def _links(members: DataFrame, dealt: DataFrame, texts: DataFrame, words: int, numerator: int, every: bool) -> DataFrame:
     """Verified links inside the groups of members (hub, node, component), as pairs (a, b) of components.
 
-    A group is dealt into blocks of about `block` nodes by a hash of the node. Every block is
+    A group is dealt into blocks (dealt: hub, blocks) by a hash of the node. Every block is
     compared with itself and with block 0, work that grows in proportion to the group; with
     `every`, all pairs of blocks are compared. A task holds two blocks at most.
     """
-    large = stored(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > block).select("hub", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
-    spread = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    spread = members.join(dealt, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("i"), F.greatest(j, F.col("i")).alias("j")))
     tasks = others if every else F.when(F.col("i") == 0, others).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("i").alias("j"))))
     tasks = spread.select("hub", "node", "component", F.col("i").alias("own"), F.explode(tasks).alias("t"))
@@ -157,12 +164,12 @@ def _links(members: DataFrame, texts: DataFrame, words: int, numerator: int, blo
 
 
 def _joined(stars: DataFrame) -> DataFrame:
-    """stars (star, hub, node) with each hub replaced by the least hub that it shares a bucket with itself,
+    """stars (star, hub, node, size) with each hub replaced by the least hub that it shares a bucket with itself,
     so the many stars of one cluster become one group; star keeps the bucket's own hub."""
-    if "star" not in stars.columns:
-        stars = stars.select(F.col("hub").alias("star"), "hub", "node")
     upper = stored(stars.groupBy(F.col("node").alias("hub")).agg(F.min("hub").alias("upper")))  # stored, so a hot hub's side can be split
-    return stored(stars.join(upper, "hub").select("star", F.least("hub", "upper").alias("hub"), "node"))
+    out = stored(stars.join(upper, "hub").select("star", F.least("hub", "upper").alias("hub"), "node", "size"))
+    discard(upper, stars)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -172,37 +179,46 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     `words` words (A-Z lower-cased; fewer words make one shingle). component_id is the smallest
     doc_id reachable over links; kept marks the row that has it. Candidates share a band of the
     signature (at 0.8, 32 bands of 4 miss a pair with probability 5e-8); links are confirmed on full
-    sets. Rows with equal sets are collapsed first, so copies cost one comparison altogether.
+    sets. Rows with equal sets are collapsed first, so copies cost one comparison altogether. doc_id is
+    of any type that has an order.
 
     Null or wordless text: n_shingles 0, linked with nothing, kept. Null doc_id: linked with nothing,
     component_id null, kept. Repeated rows (same doc_id and text) are one document and share their
     fate. Empty tables give no rows; other columns are ignored.
     """
     require(docs, "doc_id", "text")
-    base = docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(base.mapInArrow(_sketch(words, bands, rows), "rk long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select(row_key("doc_id", "text").alias("rk"), "doc_id", "text")
+    sketch = stored(base.mapInArrow(_sketch(words, bands, rows), f"rk binary, doc_id {kind}, n_shingles long, h1 long, h2 long, bands array<long>"))
     able = sketch.where("n_shingles > 0 and doc_id is not null")
-    # One node per distinct set; it is named by its first row's key.
-    sets = stored(able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.first("bands").alias("bands")).select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.rk").alias("node"), "bands"))
-    banded = sets.select("node", F.explode("bands").alias("band"))
+    # One node per distinct set, with the text of its first row. Nodes are numbered before they are stored, so none collide.
+    sets = stored(able.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.doc_id", "first.rk", "size", "bands"))
+    banded = sets.select("node", "size", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     # The joins that carry most rows are merge joins at every size, so their cost grows in proportion.
-    stars = stored(banded.join(hubs.hint("merge"), "band").select("hub", "node").distinct())
-    texts = stored(base.select(F.col("rk").alias("node"), "text").join(stars.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    stars = stored(banded.join(hubs.hint("merge"), "band").select(F.col("hub").alias("star"), "hub", "node", "size").distinct())
+    wanted = sets.select("node", "rk").join(stars.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = stored(base.select("rk", "text").join(wanted.hint("merge"), "rk").groupBy("node").agg(F.first("text").alias("text")))
     groups = _joined(_joined(stars))
-    members = stored(groups.select("hub", "node").distinct())
-    labels = connected_components(_links(members.withColumn("component", F.col("node")), texts, words, numerator, block, False))
+    members = stored(groups.select("hub", "node", "size").distinct())
+    dealt = stored(_dealt(members, block))
+    labels = connected_components(_links(members.withColumn("component", F.col("node")), dealt, texts, words, numerator, False))
     named = sets.select("h1", "h2", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Two nodes of one bucket are in one group. Groups of more than two blocks had only some pairs of
     # blocks compared: their buckets that are not yet one component have all pairs compared.
-    large = members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > block).select("hub")
-    doubtful = groups.join(large, "hub", "left_semi").select(F.col("star").alias("hub"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    large = dealt.where("blocks > 2").select("hub")
+    doubtful = groups.join(large, "hub", "left_semi").select(F.col("star").alias("hub"), "node", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = stored(doubtful.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub"))
     if split.limit(1).count():
-        joined = connected_components(_links(doubtful.join(split, "hub", "left_semi").distinct(), texts, words, numerator, block, True))
+        again = stored(doubtful.join(split, "hub", "left_semi").distinct())
+        joined = connected_components(_links(again, stored(_dealt(again, block)), texts, words, numerator, True))
         named = named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+        discard(again)
+    named = stored(named)
+    discard(texts, groups, members, dealt, split)
     least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     of_set = stored(named.join(least, "component").select("h1", "h2", "component_id"))
+    discard(named, least, sets)
     linked = able.select("rk", "doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "rk")
     alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "rk")
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "rk")
