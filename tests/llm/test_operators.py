@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -239,11 +240,43 @@ def test_boilerplate(spark):
     df = frame(spark, rows, "doc_id long, source string, text string")
     got = {r.doc_id: r for r in line_dedup.without_boilerplate(df).collect()}
     assert got[0].text == rows[0][2] and got[0].n_removed == 0
-    assert all(got[i].text == f"Own line of document {i} here\n\nshort" and got[i].n_removed == 1 for i in range(1, 12))
+    assert all(got[i].text == f"Own line of document {i} here\n" and got[i].n_removed == 2 for i in range(1, 12))
     assert (got[50].text, got[50].n_removed) == ("", 1) and got[51].text is None and got[52].text == "" and got[53].n_removed == 2
     assert all(got[60 + i].n_removed == 0 for i in range(30)) and got[0].rank == "extra"
     assert {r.n_removed for r in line_dedup.without_boilerplate(df, sites=13).collect()} == {0}
-    assert line_dedup.without_boilerplate(df, keep_first=False).where("doc_id = 0").first().n_removed == 1
+    assert line_dedup.without_boilerplate(df, keep_first=False).where("doc_id = 0").first().n_removed == 2
+
+
+def brute_boilerplate(rows, sites):
+    """Exact distinct sites of every line, without sketches or hashes; text and lines gone by row."""
+    clean = lambda x: re.sub(r"[ \t\r\f\x0b]+", " ", x).strip(" ").lower()
+    seen, first = {}, {}
+    for i, site, text in sorted(rows):
+        for at, raw in enumerate(text.split("\n")):
+            x = clean(raw)
+            if len(x) >= 20 or any(c.isalnum() for c in x):
+                seen.setdefault(x, set()).add(site)
+                first.setdefault(x, (i, at))
+    out = {}
+    for i, _, text in rows:
+        left = [raw for at, raw in enumerate(text.split("\n")) if len(seen.get(x := clean(raw), ())) < sites or first[x] == (i, at)]
+        out[i] = ("\n".join(left), len(text.split("\n")) - len(left))
+    return out
+
+
+def test_boilerplate_near_the_threshold(spark):
+    """Lines of 7 to 13 sites around a threshold of 10, in odd white space, and one very long text."""
+    draw = random.Random(2)
+    odd = ["{}", "\t{}", "{}\r", " {} ", "{}\x0b", "\f {}\t\r"]
+    texts = {i: [f"own {i}"] for i in range(40)}
+    for k in range(60):
+        for i in draw.sample(range(40), draw.randrange(7, 14)):
+            texts[i].append(draw.choice(odd).format(f"line\t number  {k}"))
+    texts[3] += [f"line {j}" if j % 3 else "line number 1" for j in range(20_000)]
+    rows = [(i, f"s{i}", "\n".join(t)) for i, t in texts.items()]
+    got = line_dedup.without_boilerplate(frame(spark, rows, "doc_id long, source string, text string").withColumn("_typeloom_rk", F.lit("mine")).withColumn("N_Removed", F.lit(7)))
+    assert {r.doc_id: (r.text, r.n_removed) for r in got.collect()} == brute_boilerplate(rows, 10)
+    assert got.columns[-1] == "n_removed" and {r._typeloom_rk for r in got.collect()} == {"mine"}
 
 
 def brute_phrases(text, train):

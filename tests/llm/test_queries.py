@@ -57,7 +57,7 @@ def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "GROUP_TOKENS", 2048)
     rows = [(i, " ".join(f"word{(i * 7 + k) % 90}" for k in range(20 + i * 37 % 300)), "en", f"s{i % 7 if i % 3 else 0}", 0) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    place = {r.doc_id: r._typeloom_place for r in corpus_pipeline._placed(docs).collect()}
+    place = {r.row.doc_id: r.place for r in corpus_pipeline._placed(docs).collect()}
     docs.repartition(9, F.rand(3)).write.parquet(f"{tmp_path}/mix")
     pieces = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mix"), SF).collect()
     assert {r.doc_id for r in pieces} == set(place)

@@ -1,8 +1,8 @@
 """Cross-site boilerplate lines, by HyperLogLog sketches of each line's sites. DataFrame functions only.
 
-Sketches of the sites of each line hash merge by aggregation. A line whose estimate is surely
-under the threshold stays; the others, near or over it, get exact distinct counts, so the result is
-exact wherever the sketch's error is within MARGIN.
+Sketches of the sites of each line hash merge by aggregation, first on the map side. A line whose
+estimate is surely under the threshold stays. The occurrences of the others, near or over it, are
+kept, and their sites counted exactly, so the result is exact wherever the sketch's error is within MARGIN.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import require, row_key, stored
 
 SITES, LEAST_CHARS, LG_K, MARGIN = 10, 20, 10, 0.2
+#: Runs of these count as one blank.
+BLANKS = r"[ \t\r\f\x0B]+"
 
 
 def _lines(text: Column) -> Column:
@@ -20,41 +22,38 @@ def _lines(text: Column) -> Column:
 
 
 def _clean(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(line), r"\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(line, BLANKS, " ")))
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(lines, spread): lines (rk, doc_id, at, h1, h2) of docs (rk, doc_id, site, text), and the hashes
-    with at least `sites` distinct sites: h1, h2, n_sites, rk0, at0 (the first occurrence by doc_id)."""
-    exploded = docs.select("rk", "doc_id", "site", F.posexplode(F.transform(_lines(F.col("text")), _clean)).alias("at", "line")).where((F.length("line") >= least_chars) & ((F.length("line") >= LEAST_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
+def near_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """rk, doc_id, site, at, h1, h2, first for the lines of docs (rk, doc_id, site, text) whose hash has about
+    `sites` distinct sites or more; first is the hash's first occurrence (doc_id, rk, at)."""
+    exploded = docs.select("rk", "doc_id", "site", F.posexplode(F.transform(_lines(F.col("text")), _clean)).alias("at", "line")).where((F.length("line") >= LEAST_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]"))
     lines = exploded.select("rk", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"))
-    me = F.struct("doc_id", "rk", "at")
-    # A first aggregation folds a hot line's rows to one for each site before its sketch is fed.
-    by_site = stored(lines.groupBy("h1", "h2", "site").agg(F.min(me).alias("first")))
-    sketched = by_site.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("first").alias("first")).withColumn("estimate", F.hll_sketch_estimate("sketch"))
-    near = stored(sketched.where(F.col("estimate") >= sites * (1 - MARGIN)).select("h1", "h2", "first"))
-    exact = by_site.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n_sites")).where(F.col("n_sites") >= sites)
-    return lines, stored(near.join(exact, ["h1", "h2"]).select("h1", "h2", "n_sites", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0")))
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "rk", "at")).alias("first"))
+    near = stored(sketched.where(F.hll_sketch_estimate("sketch") >= sites * (1 - MARGIN)).select("h1", "h2", "first"))
+    return stored(lines.join(near, ["h1", "h2"]))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, least_chars: int = LEAST_CHARS, keep_first: bool = True) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, keep_first: bool = True) -> DataFrame:
     """docs with text cleaned and n_removed (lines gone) added; other columns and rows stay.
 
-    A line is compared trimmed, lower-cased, with runs of white space as one blank; shorter ones than
-    least_chars characters never go, nor do lines of under LEAST_CHARS without a letter or digit. keep_first leaves a line's first occurrence (by doc_id, row
-    key, position) in place, so no content is lost altogether. A null site counts as no site; null
-    text stays null, n_removed 0. Repeated rows (same doc_id and text) are one document. An
-    existing column n_removed is replaced. Other lines stay byte for byte.
+    A line goes if it stands in `sites` distinct sites or more. Lines compare lower-cased, trimmed, with
+    runs of white space as one blank; those of under LEAST_CHARS characters without a letter or digit
+    take no part. keep_first leaves a line's first occurrence (by doc_id, row key, position) in place,
+    so no content is lost altogether. A null site counts as no site; null text stays null, n_removed 0;
+    an empty text or table stays empty. Repeated rows (same doc_id and text) are one document. An
+    existing column n_removed, in any case, is replaced. Other lines stay byte for byte.
     """
     require(docs, "doc_id", "text", site)
-    docs = docs.drop("n_removed")
-    names, key = docs.columns, "_typeloom_rk"
-    keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    lines, spread = boilerplate(keyed.select(F.col(key).alias("rk"), "doc_id", F.col(site).cast("string").alias("site"), "text"), sites, least_chars)
-    hits = lines.select("rk", "at", "h1", "h2").join(spread, ["h1", "h2"])
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == "n_removed"))
+    base = docs.select(row_key("doc_id", "text").alias("_typeloom_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_typeloom_row"))
+    found = near_lines(base.select(F.col("_typeloom_key").alias("rk"), "_typeloom_row.doc_id", F.col(f"_typeloom_row.`{site}`").cast("string").alias("site"), "_typeloom_row.text"), sites)
+    spread = stored(found.groupBy("h1", "h2").agg(F.countDistinct("site").alias("n_sites")).where(F.col("n_sites") >= sites).select("h1", "h2"))
+    hits = found.join(spread, ["h1", "h2"])
     if keep_first:
-        hits = hits.where("rk <> rk0 or at <> at0")
-    gone = hits.groupBy(F.col("rk").alias(key)).agg(F.collect_set("at").alias("_typeloom_gone"))
-    left = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("_typeloom_gone", i))
-    cleaned = F.when(F.col("_typeloom_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return keyed.join(gone.hint("merge"), key, "left").select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.coalesce(F.size("_typeloom_gone"), F.lit(0)).cast("long").alias("n_removed"))
+        hits = hits.where("rk <> first.rk or at <> first.at")
+    gone = hits.groupBy(F.col("rk").alias("_typeloom_key")).agg(F.collect_set("at").alias("gone"))
+    left = F.transform(F.array(_lines(F.col("_typeloom_row.text"))), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "gone"), lambda i: F.get(x, i)))
+    cleaned = F.when(F.col("gone").isNull(), F.col("_typeloom_row.text")).otherwise(F.array_join(F.get(left, F.lit(0)), "\n"))
+    return base.join(gone.hint("merge"), "_typeloom_key", "left").select(*(cleaned.alias("text") if c == "text" else F.col(f"_typeloom_row.`{c}`").alias(c) for c in docs.columns), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -37,7 +37,7 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_removed")
+    return line_dedup.without_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +113,8 @@ FROM blocks JOIN times USING (source) WHERE times.k = block % n
 
 _OP4 = f"""
 WITH x AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-l AS (SELECT doc_id, source, raw, pos, lower(regexp_replace(trim(raw), '\\s+', ' ', 'g')) AS line FROM x),
-s AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {line_dedup.LEAST_CHARS} GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.SITES}),
+l AS (SELECT doc_id, source, raw, pos, lower(trim(regexp_replace(raw, '[ \\t\\r\\f\\x0B]+', ' ', 'g'))) AS line FROM x),
+s AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {line_dedup.LEAST_CHARS} OR regexp_matches(line, '[\\p{{L}}\\p{{N}}]') GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.SITES}),
 g AS (SELECT l.doc_id, l.raw, l.pos, s.first IS NOT NULL AND s.first <> (l.doc_id, l.pos) AS gone FROM l LEFT JOIN s ON l.line = s.line),
 t AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed FROM g GROUP BY 1)
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE t.text END AS text, coalesce(t.n_removed, 0) AS n_removed FROM documents d LEFT JOIN t USING (doc_id)
