@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm import language_id, line_dedup, mixing, near_dedup, packing
-from typeloom.llm.common import row_key, stored
+from typeloom.llm.common import discard, row_key, stored
 from typeloom.llm.queries import tokenizer_path
 
 #: SQL cannot express cross-parsing, SuperMinHash or the tokenizer; tests compare the stages with brute force.
@@ -15,54 +15,69 @@ ORACLE_SQL = None
 GROUP_TOKENS = 262_144
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """key (128 bits over doc_id and text), row (all of docs' columns, so that none clashes with what a stage adds)."""
+    return docs.select(row_key("doc_id", "text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter. lang becomes the prediction where it was null, and stays null where no label is there to learn from."""
+    """Documents with a letter. lang becomes the prediction where it was null, and stays null where no label is there to learn from.
+
+    Null, empty and letterless texts go; repeated rows and null ids stay as they are; no rows give none.
+    """
     samples = language_id.learn(docs.select("doc_id", "text", "lang"))
     if not samples:
         return docs.where("text rlike '\\\\p{L}'")
-    told = language_id.identify(docs, samples).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    told = language_id.identify(_rows(docs).select("row", "row.text"), samples).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return told.select(*((F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site lines of any length but for their first occurrence; n_chars follows the text."""
-    cleaned = line_dedup.without_boilerplate(docs, least_chars=1)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents, without cross-site lines of any length but for their first occurrence; n_chars follows the text.
+
+    Null and empty texts stay (n_chars null and 0); repeated rows are cleaned alike; no rows give none.
+    """
+    cleaned = line_dedup.without_boilerplate(docs)
+    return cleaned.select(*((F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8): that with the smallest id, null ids last.
 
-    Rows are linked under their row keys, so rows with null ids take part; of rows equal in doc_id and text one stays.
+    Rows are linked under their row keys, so rows with null ids take part; of rows equal in doc_id and text the
+    least in all columns stays. Texts without words are linked with nothing and stay. No rows give none.
     """
-    key, others = "_typeloom_rk", [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    groups = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
-    named = groups.join(keyed.select(key, "doc_id").distinct(), key)
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)).select(key)
-    left = keyed.join(kept, key, "left_semi")
-    return left.withColumn("_typeloom_n", F.row_number().over(Window.partitionBy(key).orderBy(*others, "doc_id"))).where("_typeloom_n = 1").select(docs.columns)
+    keyed = _rows(docs)
+    groups = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = groups.join(keyed.select("key", "row.doc_id").distinct(), "key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key")
+    # Of a row that occurs many times one is kept before anything is shuffled by its key.
+    return keyed.groupBy("key").agg(F.min("row").alias("row")).join(kept.hint("merge"), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs in the order of the Pfair mix of their sources, in partitions that hold a range of places each, with _typeloom_place."""
-    keyed = docs.withColumn("_typeloom_rk", row_key("doc_id", "text"))
-    places = mixing.mixed(keyed.select(F.col("_typeloom_rk").alias("doc_id"), "source")).groupBy(F.col("doc_id").alias("_typeloom_rk")).agg(F.min("place").alias("_typeloom_place"))
-    return keyed.join(places.hint("merge"), "_typeloom_rk").repartitionByRange("_typeloom_place").sortWithinPartitions("_typeloom_place")
+    """place, row: docs in the order of the Pfair mix of their sources, in partitions that hold a range of places each."""
+    keyed = _rows(docs)
+    places = mixing.mixed(keyed.select(F.col("key").alias("doc_id"), "row.source")).groupBy(F.col("doc_id").alias("key")).agg(F.min("place").alias("place"))
+    return keyed.join(places.hint("merge"), "key").select("place", "row").repartitionByRange("place").sortWithinPartitions("place")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the Pfair mix of their sources."""
-    return _placed(docs).select(docs.columns)
+    """All documents, written in the order of the Pfair mix of their sources; a null source counts as one named ''.
+
+    Repeated rows share the place of their first; null ids and texts are placed like others; no rows give none.
+    """
+    return _placed(docs).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document in training sequences, numbered in the order of the mix.
 
     Files are reread in any order, so the places are rebuilt from the documents. Each partition packs a range
-    of places, in runs of about GROUP_TOKENS tokens.
+    of places, in runs of about GROUP_TOKENS tokens. Null and empty texts are the end token alone; repeated
+    rows are packed each; no rows give no pieces.
     """
-    return packing.packed(_placed(docs), tokenizer_path(), group_tokens=GROUP_TOKENS, in_order=True)
+    return packing.packed(_placed(docs).select("row.doc_id", "row.text"), tokenizer_path(), group_tokens=GROUP_TOKENS, in_order=True)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
@@ -70,9 +85,12 @@ STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
