@@ -121,9 +121,9 @@ def brute_spans(rows, span, piece, least):
     runs = []
     for i, ss in done.items():
         for p in range(len(ss)):
-            n = next((n for n in range(span, len(ss) - p + 1) if sum(map(len, ss[p : p + n])) >= least), None)
-            if n:
-                runs.append((i, p, n, tuple(x.lower() for s in ss[p : p + n] for x in [b"|", *s])))
+            for n in range(span, len(ss) - p + 1):
+                if sum(map(len, ss[p : p + n])) >= least:
+                    runs.append((i, p, n, tuple(x.lower() for s in ss[p : p + n] for x in [b"|", *s])))
     for i, p, n, r in sorted(runs, key=lambda x: x[:2]):
         if r in seen:
             gone.setdefault(i, set()).update(range(p, p + n))
@@ -139,17 +139,33 @@ def test_repeated_spans(spark):
     bare = " ".join(words(60))
     rows += [(60 + i, f"{' '.join(words(3 + 7 * i))} {bare} {' '.join(words(9))}") for i in range(6)]
     rows += [(50, None), (51, ""), (52, passage), (53, passage.upper()), (54, "Short. Short. Short. Short."), (55, long)]
-    got = {r.doc_id: (r.n_sentences, r.n_removed, (r.text or "").split()) for r in substring_dedup.remove_repeated_spans(frame(spark, rows, "doc_id long, text string")).collect()}
-    want = brute_spans(rows, substring_dedup.SPAN, substring_dedup.PIECE, substring_dedup.LEAST_WORDS)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, (r.text or "").split()) for r in substring_dedup.remove_repeated_spans(frame(spark, rows, "doc_id long, text string"), least_words=10).collect()}
+    want = brute_spans(rows, substring_dedup.SPAN, substring_dedup.PIECE, 10)
     assert {i: (a, b, " ".join(t)) for i, (a, b, t) in got.items()} == {i: (a, b, " ".join(t)) for i, (a, b, t) in want.items()}
     assert all(got[60 + i][1] >= 2 for i in range(1, 6))
     assert got[52][1] == 6 and got[53][1] == 6 and got[54][1] == 0 and got[1][1] == 0 and got[3][1] == 6
 
 
+@pytest.mark.parametrize("least", [1, 10, 25])
+def test_every_run_of_sentences_counts(spark, least):
+    """Passages of short and long sentences, and mixtures of them: all runs of all lengths, by brute force."""
+    draw = random.Random(least)
+    sentence = [" ".join(words(draw.choice([1, 2, 4, 5, 12, 30]))) + "." for _ in range(60)]
+    part = lambda at: sentence[at : at + draw.randrange(1, 7)] + [f"only {at} {draw.random()}."]
+    rows = [(i, " ".join(x for _ in range(3) for x in part(draw.randrange(55)))) for i in range(60)]
+    twelve_five_four = ". ".join(" ".join(words(n)) for n in (12, 5, 4)) + "."
+    rows += [(100 + i, f"{' '.join(words(8))}. {twelve_five_four} {' '.join(words(9))}.") for i in range(3)]
+    got = substring_dedup.remove_repeated_spans(frame(spark, rows, "doc_id long, text string"), least_words=least).collect()
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text.split()) for r in got} == {i: (a, b, " ".join(t).split()) for i, (a, b, t) in brute_spans(rows, substring_dedup.SPAN, substring_dedup.PIECE, least).items()}
+    if least == 10:
+        assert [r.n_removed for r in sorted(got, key=lambda r: r.doc_id) if r.doc_id >= 100] == [0, 3, 3]
+
+
 def test_repeated_rows_are_one_document(spark):
-    text = "One two three four five six. Seven eight nine ten eleven twelve."
-    got = substring_dedup.remove_repeated_spans(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 2)]
+    text = ". ".join(" ".join(f"{x}{k}" for k in range(12)) for x in "abc") + "."
+    rows = [(1, text)] * 1000 + [(2, text)] * 3 + [(None, "Null ids come first. " + " ".join(words(30))), (None, text), (2, text + " More.")]
+    got = substring_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_sentences, r.n_removed) for r in got) == sorted([(1, 3, 3)] * 1000 + [(2, 3, 3)] * 3 + [(0, rows[1003][1].count(".") + 1, 0), (0, 3, 0), (2, 4, 3)])
 
 
 def test_passages_of_51_words_are_always_found(spark):

@@ -2,11 +2,13 @@
 
 A sentence ends at `.`, `!` or `?` before white space and at a line's end. In a sentence of over
 PIECE words a further end follows every later word whose hash says so (one in CUT), so a long
-passage without punctuation holds several that don't depend on where it stands. From every
-sentence the shortest run of at least SPAN sentences and LEAST_WORDS words is hashed to 128 bits, runs are joined globally by hash, and a sentence covered by any repeated run that isn't
-the run's first occurrence (by doc_id, row key, position) is removed.
+passage without punctuation holds several that don't depend on where it stands. A run counts if it has
+SPAN sentences and LEAST_WORDS words at least. Of every sentence the shortest run that starts with it
+and the shortest that ends with it are hashed to 128 bits and joined globally by hash; a sentence covered by any
+repeated run that isn't the run's first occurrence (by doc_id, row key, position) is removed. The shortest
+runs inside a longer one cover all of it and are repeated where it is, so the result is that of hashing every run.
 
-Runs depend on what stands before a passage, so n-grams of GRAM words are hashed as well: of every
+Runs depend on where sentences end, so n-grams of GRAM words are hashed as well: of every
 `passage` - GRAM + 1 neighbouring ones that with the smallest hash (winnowing), so two texts that share
 `passage` words share a hash, whatever surrounds them. The words of a repeated n-gram are removed
 as sentences are. Here every character of a script without blanks is a word.
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, row_key, stored
+from .common import require, stored
 from .textkernel import _ODD, U, Words, mix, power_tables, slices, trimmed
 
-SPAN, PIECE, CUT, LEAST_WORDS, HOT = 2, 25, 6, 10, 1_000
+SPAN, PIECE, CUT, LEAST_WORDS, HOT = 2, 25, 6, 20, 1_000
 GRAM, PASSAGE = 20, 51
 #: Added to the size of a run that counts words, not sentences.
 _IN_WORDS = 1 << 30
@@ -84,8 +86,24 @@ def winnowed(words: Words, passage: int, gram: int = GRAM) -> tuple[np.ndarray,
     return own, [b[own].view(np.int64) for b in both]
 
 
+def shortest_runs(words: Words, at: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentence of the shortest run that starts with each sentence, then of those that end with one and are others.
+
+    at: index of the first word of each sentence. Runs stay in their row and have `span` sentences and `least` words at least.
+    """
+    many = len(at)
+    ends = np.append(at[1:], len(words.starts))
+    row = np.searchsorted(words.first, at, "right") - 1
+    first = np.arange(many)
+    last = np.maximum(np.searchsorted(ends, at + least), first + span - 1)
+    fits = (last < many) & (row[np.minimum(last, many - 1)] == row)
+    begin = np.minimum(np.searchsorted(at, ends - least, "right") - 1, first - span + 1)
+    other = (begin >= 0) & (row[np.maximum(begin, 0)] == row) & (last[np.maximum(begin, 0)] != first)
+    return np.concatenate((first[fits], begin[other])), np.concatenate((last[fits], first[other]))
+
+
 def _runs(span: int, piece: int, least: int, passage: int | None):
-    names = ["rk", "doc_id", "at", "size", "h1", "h2"]
+    names = ["doc_id", "rk", "at", "size", "h1", "h2"]
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,26 +115,27 @@ def _runs(span: int, piece: int, least: int, passage: int | None):
                 many = len(at)
                 if not many:
                     continue
+
+                def placed(row: np.ndarray, at: np.ndarray, size: np.ndarray, both: list[np.ndarray]) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, both)], names)  # noqa: B023
+
                 if passage:
                     finer = Words(part.column(2), glyphs=True)
                     own, both = winnowed(finer, passage)
                     row = np.searchsorted(finer.first, own, "right") - 1
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((own - finer.first[row]).astype(np.int32)), pa.array(np.full(len(own), GRAM + _IN_WORDS, np.int32)), *map(pa.array, both)], names)
+                    yield placed(row, own - finer.first[row], np.full(len(own), GRAM + _IN_WORDS), both)
                 ends = np.append(at[1:], len(words.starts))
                 place = np.arange(len(words.starts)) - np.repeat(at, ends - at)
                 code = mix(np.add.reduceat(hashes * (mix(place.astype(np.uint64) + _ODD[0]) | U(1)), at) + (ends - at).astype(np.uint64))
-                row = np.searchsorted(words.first, at, "right") - 1
-                first = np.arange(many)
-                last = np.maximum(np.searchsorted(ends, at + least), first + span - 1)
-                own = np.flatnonzero((last < many) & (row[np.minimum(last, many - 1)] == row))
-                size = (last - first + 1)[own]
+                first, last = shortest_runs(words, at, span, least)
+                size = last - first + 1
                 power, inverse = power_tables(many + 1)
                 both = []
                 for salt in (_ODD[1], _ODD[2]):
                     total = np.concatenate(([U(0)], np.cumsum(mix(code + salt) * power[:many])))
-                    both.append(mix((total[last[own] + 1] - total[own]) * inverse[own] + size.astype(np.uint64) * salt).view(np.int64))
-                position = first - np.searchsorted(row, row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), part.column(1).take(pa.array(row[own])), pa.array(position[own].astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, both)], names)
+                    both.append(mix((total[last + 1] - total[first]) * inverse[first] + size.astype(np.uint64) * salt).view(np.int64))
+                row = np.searchsorted(words.first, at, "right") - 1
+                yield placed(row[first], first - np.searchsorted(row, row[first]), size, both)
 
     return run
 
@@ -152,24 +171,25 @@ def _removed(piece: int):
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
     """doc_id, text without repeated spans, n_sentences, n_removed for each row of docs (doc_id, text).
 
-    A run ends inside its document, so its last sentences start none if too little follows. Words compare with A-Z lower-cased and by any
+    Runs stay inside their document. Words compare with A-Z lower-cased and by any
     white space. The first occurrence stays everywhere, so a passage survives once. Null text stays
     null with 0 sentences; an empty text stays empty; where all sentences go, the text is empty.
     Repeated rows (same doc_id and text) count as one occurrence and are treated alike; rows of
     one doc_id with different texts are told apart. Null doc_ids come first. Other columns are ignored.
     passage: so many words (more than GRAM) that two places share are always found, though up to
-    passage - GRAM of them may stay at either end; n_removed counts sentences that lose a word.
-    None: runs of sentences only. A text's n-gram that overlaps its own first occurrence stays.
+    passage - GRAM of them may stay at either end if sentences end elsewhere; n_removed counts sentences that lose
+    a word. None: runs of sentences only. A text's n-gram that overlaps its own first occurrence stays.
     """
     require(docs, "doc_id", "text")
     if passage is not None and passage <= GRAM:
         raise ValueError(f"a passage must have more than {GRAM} words")
-    base = docs.select(row_key("doc_id", "text").alias("rk"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = base.mapInArrow(_runs(span, piece, least_words, passage), f"rk long, doc_id {kind}, at int, size int, h1 long, h2 long")
-    me = F.struct("doc_id", "rk", "at")
-    repeated = runs.groupBy("h1", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count("*").alias("n")).where("first <> last")
-    first = stored(repeated.select("h1", "h2", F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"), "n"))
+    # A row is known by doc_id and rk together.
+    base = docs.select("doc_id", F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))).alias("rk"), "text")
+    runs = base.mapInArrow(_runs(span, piece, least_words, passage), f"doc_id {kind}, rk long, at int, size int, h1 long, h2 long")
+    # A repeated row's runs are found as well, but are their own first occurrences.
+    repeated = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(repeated.select("h1", "h2", F.col("first.doc_id").alias("doc_id0"), F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"), "n"))
     # A run with over 1 / HOT of the repeated rows (fewer than HOT runs) is dealt over several keys, each of about that share.
     share = F.ceil(F.col("n") * HOT / F.lit(first.agg(F.sum("n")).first()[0] or 1)).cast("int")
     dealt = first.withColumn("deals", share)
@@ -178,10 +198,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     def key(deal: Column) -> Column:
         return F.when(F.col("deals") > 1, F.xxhash64("h2", deal)).otherwise(F.col("h2")).alias("key")
 
-    mine = F.pmod(F.xxhash64("rk", "at"), F.col("deals")).cast("int")
-    keyed = runs.join(hot, ["h1", "h2"], "left").select("rk", "at", "size", "h1", key(mine))
-    firsts = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", key(F.col("deal")), "rk0", "at0")
-    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where(f"rk <> rk0 or abs(at - at0) >= if(size >= {_IN_WORDS}, size - {_IN_WORDS}, 1)")
+    mine = F.pmod(F.xxhash64("doc_id", "rk", "at"), F.col("deals")).cast("int")
+    keyed = runs.join(hot, ["h1", "h2"], "left").select("doc_id", "rk", "at", "size", "h1", key(mine))
+    firsts = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", key(F.col("deal")), "doc_id0", "rk0", "at0")
+    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where(f"not (doc_id <=> doc_id0 and rk = rk0) or abs(at - at0) >= if(size >= {_IN_WORDS}, size - {_IN_WORDS}, 1)")
     # One number for each run, position and size; the positions it covers are spread out where the text is.
-    gone = again.select("rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy("rk").agg(F.collect_list("s").alias("gone"))
-    return base.join(gone.hint("merge"), "rk", "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
+    # A set, as equal rows give equal runs: it holds no more than the runs of one text.
+    gone = again.select("doc_id", "rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy(F.col("doc_id").alias("doc_id1"), F.col("rk").alias("rk1")).agg(F.collect_set("s").alias("gone"))
+    return base.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc_id1")) & (F.col("rk") == F.col("rk1")), "left").select("doc_id", "text", "gone").mapInArrow(_removed(piece), f"doc_id {kind}, text string, n_sentences long, n_removed long")
