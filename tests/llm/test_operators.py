@@ -221,18 +221,44 @@ def test_recall_of_the_forest(spark):
     assert hits / 300 >= 0.85
 
 
-def test_schedule_is_pfair(spark):
-    for weights in ({"a": 1.0}, {"a": 5, "b": 3, "c": 1, "d": 1}, {f"s{i}": 2.0**i for i in range(8)}, {"a": 1e9, "b": 1, "c": 1}):
-        period = 60
-        plan = mixing.shares(spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double"), period)
-        n = {r.source: r.n for r in plan.collect()}
-        assert sum(n.values()) == period and min(n.values()) >= 1
-        slots = {r.slot: r.source for r in mixing.schedule(plan, period).collect()}
-        assert sorted(slots) == list(range(period))
-        done = Counter()
-        for t in range(period):
-            done[slots[t]] += 1
-            assert all(abs(n[s] * (t + 1) / period - done[s]) < 1 for s in n)
+PFAIR = [
+    ([1.0], [700], 256),
+    ([5, 3, 1, 1], 90, 256),
+    ([2.0**i for i in range(8)], [3 * 2**i for i in range(8)], 256),
+    ([math.sqrt(i) for i in range(1, 21)], [int(6000 * math.sqrt(i) / 61) for i in range(1, 21)], 256),
+    ([math.sqrt(i) for i in range(1, 21)], [int(12000 * math.sqrt(i) / 61) for i in range(1, 21)], 4096),
+    ([1, 1e-9, 0.37, 0.2], [4000, 30, 1500, 800], 1024),
+    ([0.3, 0.0007, 0.6], [100, 900, 50], 512),
+]
+
+
+@pytest.mark.parametrize(("weights", "blocks", "segment"), PFAIR)
+def test_schedule_is_pfair(spark, weights, blocks, segment):
+    """Windows, one block a slot, and less than one block from the true targets until the first source ends."""
+    names = [f"s{i:02}" for i in range(len(weights))]
+    q = {r.source: r.q for r in mixing.shares(spark.createDataFrame([(s, float(w)) for s, w in zip(names, weights, strict=True)], "source string, weight double")).collect()}
+    n = dict(zip(names, blocks if isinstance(blocks, list) else [blocks] * len(names), strict=True))
+    got = mixing.schedule(spark.createDataFrame([(s, q[s], n[s]) for s in names], "source string, q long, n long"), segment).collect()
+    slots = {r.slot: r.source for r in got}
+    assert len(slots) == len(got) == sum(n.values()) == len({(r.source, r.k) for r in got})
+    whole, scheduled = sum(q.values()), mixing.STRETCH * sum(n.values())
+    assert all(r.k * whole // q[r.source] <= r.slot < -(-(r.k + 1) * whole // q[r.source]) for r in got if r.slot < scheduled)
+    for s in names:
+        own = [r.slot for r in sorted((r for r in got if r.source == s), key=lambda r: r.k)]
+        assert own == sorted(own)
+    share = {s: w / sum(weights) for s, w in zip(names, weights, strict=True)}
+    done = Counter()
+    for t in range(int(min(n[s] / share[s] for s in names))):
+        done[slots[t]] += 1
+        assert all(abs(share[s] * (t + 1) - done[s]) < 1 for s in names)
+
+
+def test_segments_join_to_one_schedule(spark):
+    """Wherever segments are cut, the same blocks are placed, without gaps while all sources last."""
+    plan = spark.createDataFrame([("a", 700, 300), ("b", 200, 90), ("c", 60, 27), ("d", 40, 18)], "source string, q long, n long")
+    for segment in (256, 512, 4096):
+        got = mixing.schedule(plan, segment).collect()
+        assert sorted(r.slot for r in got)[:400] == list(range(400)) and len({r.slot for r in got}) == 435
 
 
 def test_mixed(spark):
@@ -242,11 +268,10 @@ def test_mixed(spark):
     for r in got:
         assert r.release <= r.slot < r.deadline
     assert {r.source for r in got} == {"hot", "b", ""}
-    given = mixing.mixed(frame(spark, rows, "doc_id long, source string"), spark.createDataFrame([("b", 3.0), ("", None), ("zz", 9.0)], "source string, weight double"), 12, 4).collect()
-    assert len(given) == len(rows)
+    weights = spark.createDataFrame([("b", 3.0), ("", None), ("zz", 9.0), ("hot", math.nan)], "source string, weight double")
+    given = mixing.mixed(frame(spark, rows, "doc_id long, source string"), weights, 4).collect()
+    assert len(given) == len(rows) == len({r.place for r in given})
     assert not mixing.mixed(spark.createDataFrame([], "doc_id long, source string")).collect()
-    with pytest.raises(ValueError):
-        mixing.mixed(frame(spark, rows, "doc_id long, source string"), period=4)
 
 
 def test_boilerplate(spark):

@@ -80,35 +80,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_lsh_forest, op4_line_dedup, op5_language_id, op6_near_dedup, op7_url_filter, op8_media_columns, op9_packing, op10_lm_scoring)}
 
 
+# One segment: plain earliest deadline first over all slots, as long as there are no more of them than mixing.SEGMENT.
 _OP1 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-w AS (SELECT source, sqrt(count(*)) AS weight FROM d GROUP BY 1),
-p AS (SELECT greatest({mixing.PERIOD}, 4 * count(*)) AS period FROM w),
-e AS (SELECT source, weight / sum(weight) OVER () * period AS exact, period FROM w, p),
-b AS (SELECT *, CAST(greatest(floor(exact), 1) AS BIGINT) AS base FROM e),
-r AS (SELECT *, row_number() OVER (ORDER BY exact - base DESC, source) AS r, period - sum(base) OVER () AS over FROM b),
-g AS (SELECT source, period, over, base + CASE WHEN r <= over THEN 1 ELSE 0 END AS n FROM r),
-m AS (SELECT *, CASE WHEN over < 0 THEN n - 1 ELSE 0 END AS room FROM g),
-u AS (SELECT *, coalesce(sum(room) OVER (ORDER BY n DESC, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM m),
-plan AS (SELECT source, period, CAST(n - greatest(0, least(room, -over - upto)) AS BIGINT) AS n FROM u),
-ordered AS (SELECT list(source ORDER BY source) AS names, list(n ORDER BY source) AS ns, max(period) AS period FROM plan),
+w AS (SELECT source, count(*) AS n_rows, sqrt(count(*)) AS weight FROM d GROUP BY 1),
+f AS (SELECT source, n_rows, CAST(floor(weight / max(weight) OVER () * power(2, 50)) AS HUGEINT) AS f FROM w),
+g AS (SELECT source, (n_rows + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS n, CAST(greatest(f * 2147483648 // sum(f) OVER (), 2048) AS BIGINT) AS q FROM f),
+plan AS (SELECT *, CAST(sum(q) OVER () AS BIGINT) AS whole FROM g),
+ordered AS (SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS qs, max(whole) AS whole, least(4 * sum(n), max(n * whole // q + 1)) AS until FROM plan),
 sim AS (
-  SELECT 0 AS slot, names, ns, period, list_transform(ns, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM ordered
+  SELECT CAST(0 AS BIGINT) AS slot, names, qs, whole, until, list_transform(qs, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM ordered WHERE len(names) > 0
   UNION ALL
-  SELECT slot + 1, names, ns, period, list_transform(done, lambda x, i: x + CASE WHEN i = best THEN 1 ELSE 0 END), best
+  SELECT slot + 1, names, qs, whole, until, list_transform(done, lambda x, i: x + CASE WHEN i = best THEN 1 ELSE 0 END), best
   FROM (SELECT *, list_position(due, list_min(due)) AS best
-        FROM (SELECT *, list_transform(ns, lambda x, i: CASE WHEN done[i] < x AND done[i] * period // x <= slot
-                 THEN ((done[i] + 1) * period + x - 1) // x ELSE 2 * period + 2 END) AS due
-              FROM sim WHERE slot < period))),
-times AS (SELECT names[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM sim WHERE slot > 0),
+        FROM (SELECT *, list_transform(qs, lambda x, i: CASE WHEN done[i] * whole // x <= slot THEN ((done[i] + 1) * whole + x - 1) // x ELSE 4611686018427387904 END) AS due
+              FROM sim WHERE slot < until))),
+times AS (SELECT names[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM sim WHERE slot > 0),
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS i FROM d),
-blocks AS (SELECT ranked.*, i // {mixing.BLOCK_ROWS} AS block, n, period FROM ranked JOIN plan USING (source))
-SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block * period // n AS BIGINT) AS release,
-  CAST(((block + 1) * period + n - 1) // n AS BIGINT) AS deadline,
-  CAST(block // n * period + slot AS BIGINT) AS slot,
-  CAST((block // n * period + slot) * {mixing.BLOCK_ROWS} + i % {mixing.BLOCK_ROWS} AS BIGINT) AS place
-FROM blocks JOIN times USING (source) WHERE times.k = block % n
+blocks AS (SELECT ranked.*, i // {mixing.BLOCK_ROWS} AS block, q, whole FROM ranked JOIN plan USING (source))
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block * whole // q AS BIGINT) AS release,
+  CAST(((block + 1) * whole + q - 1) // q AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot,
+  CAST(slot * {mixing.BLOCK_ROWS} + i % {mixing.BLOCK_ROWS} AS BIGINT) AS place
+FROM blocks JOIN times USING (source, block)
 """
 
 _OP4 = f"""
