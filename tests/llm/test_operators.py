@@ -344,6 +344,17 @@ def test_cross_parsing_counts_phrases():
     assert letter.tolist() == [True] * 5 + [False] * 3
 
 
+def test_phrases_of_whole_texts():
+    """Texts of many lanes, among them some whose phrases are longer than several lanes, counted exactly."""
+    draw = random.Random(8)
+    text = lambda n, of="abcd efgh": " ".join("".join(draw.choice(of) for _ in range(n)).split())
+    samples = {"x": text(900), "y": text(2500, "ab c"), "z": "ab" * 1500}
+    texts = [text(n) for n in (5, 511, 512, 513, 2000, 9000)] + [samples["y"][300:2300], "ab" * 1200, "ba" * 1300 + "c", samples["x"], "a" * 3000]
+    phrases, _, sizes, _ = language_id._parse(pa.array([*texts, None, ""]), samples)
+    assert sizes.tolist() == [*map(len, texts), 0, 0]
+    assert phrases.tolist() == [[brute_phrases(t, train) for train in samples.values()] for t in texts] + [[0] * 3] * 2
+
+
 def test_languages(spark):
     german, english = "der die das und nicht ein eine ist auf von mit f\u00fcr ".split(), "the of and to in is that it was for on are ".split()
     say = lambda own, n: " ".join(DRAW.choice(own) for _ in range(n))

@@ -32,11 +32,18 @@ _NEVER = 2**62
 
 
 def shares(weights: DataFrame) -> DataFrame:
-    """(source, q): weights (source, weight > 0) as whole numbers in proportion, WHOLE * LEAST_SHARE at least, about WHOLE together."""
-    whole = Window.partitionBy()
-    fine = weights.where("weight > 0").select("source", F.greatest(F.lit(1), F.floor(F.col("weight") / F.max("weight").over(whole) * 2.0**50)).cast("decimal(20,0)").alias("f"))
+    """(source, q): weights (source, weight > 0) as whole numbers in proportion.
+
+    Weights that are whole numbers already stay as they are, so they are held exactly. Others become parts of about WHOLE.
+    A share under LEAST_SHARE counts as LEAST_SHARE.
+    """
+    whole, weight = Window.partitionBy(), F.col("weight")
+    total = F.sum("weight").over(whole)
+    exact = F.min(weight == F.floor("weight")).over(whole) & (total <= WHOLE) & (F.min("weight").over(whole) >= total * LEAST_SHARE)
+    fine = weights.where("weight > 0").select("source", "weight", exact.alias("exact"), F.greatest(F.lit(1), F.floor(weight / F.max("weight").over(whole) * 2.0**50)).cast("decimal(20,0)").alias("f"))
     scaled = fine.withColumn("total", F.sum("f").over(whole).cast("decimal(26,0)"))
-    return scaled.select("source", F.greatest(F.expr(f"cast(f * {WHOLE} as decimal(38,0)) div total"), F.lit(int(WHOLE * LEAST_SHARE))).cast("long").alias("q"))
+    parts = F.greatest(F.expr(f"cast(f * {WHOLE} as decimal(38,0)) div total"), F.lit(int(WHOLE * LEAST_SHARE)))
+    return scaled.select("source", F.when(F.col("exact"), F.col("weight").cast("long")).otherwise(parts).cast("long").alias("q"))
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -85,8 +85,9 @@ _OP1 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 w AS (SELECT source, count(*) AS n_rows, sqrt(count(*)) AS weight FROM d GROUP BY 1),
-f AS (SELECT source, n_rows, CAST(floor(weight / max(weight) OVER () * power(2, 50)) AS HUGEINT) AS f FROM w),
-g AS (SELECT source, (n_rows + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS n, CAST(greatest(f * 2147483648 // sum(f) OVER (), 2048) AS BIGINT) AS q FROM f),
+f AS (SELECT *, CAST(floor(weight / max(weight) OVER () * power(2, 50)) AS HUGEINT) AS f,
+  bool_and(weight = floor(weight)) OVER () AND sum(weight) OVER () <= 2147483648 AND min(weight) OVER () * 1048576 >= sum(weight) OVER () AS exact FROM w),
+g AS (SELECT source, (n_rows + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS n, CASE WHEN exact THEN CAST(weight AS BIGINT) ELSE CAST(greatest(f * 2147483648 // sum(f) OVER (), 2048) AS BIGINT) END AS q FROM f),
 plan AS (SELECT *, CAST(sum(q) OVER () AS BIGINT) AS whole FROM g),
 ordered AS (SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS qs, max(whole) AS whole, least(4 * sum(n), max(n * whole // q + 1)) AS until FROM plan),
 sim AS (
