@@ -160,7 +160,9 @@ def _machines(samples: dict[str, str]) -> tuple:
 def _parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases and symbols absent from the sample (rows x languages), symbols of each row, whether it has a letter.
 
-    Whole texts are parsed in lanes of LANE symbols side by side; a lane starts a new phrase.
+    Whole texts are parsed in lanes of LANE symbols side by side, each as if a phrase began with it. Then lanes are
+    parsed again from the state in which the lane before them ended, only until they meet their first parse, for as long as a
+    lane's end still changes: the phrases are those of one parse of the whole text.
     """
     languages, alphabet, table, roots, columns, _ = _machines(samples)
     symbols, offs, letter = _fold(texts, *alphabet)
@@ -172,17 +174,47 @@ def _parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.nda
     pad = columns.shape[1] - 1
     grid = np.full((LANE, int(first[-1])), pad, np.min_scalar_type(pad))
     grid[place % LANE, first[row] + place // LANE] = symbols
-    state = np.repeat(roots[:, None], grid.shape[1], 1)
-    phrases = np.ones(state.shape, np.int32)
-    for symbol in grid:
-        move = table[state + columns[:, symbol]]
+    states = np.empty((LANE + 1, len(roots), grid.shape[1]), np.int32)  # before each symbol, and at the end
+    states[0] = roots[:, None]
+    phrases = np.zeros(states.shape[1:], np.int32)
+    for k, symbol in enumerate(grid):
+        move = table[states[k] + columns[:, symbol]]
         phrases += move & 3
-        state = move >> 2
+        states[k + 1] = move >> 2
     if not len(sizes):
         return np.zeros((0, len(languages))), np.zeros((0, len(languages))), sizes, letter
+    follows = np.ones(grid.shape[1], bool)
+    follows[first[:-1][first[:-1] < grid.shape[1]]] = False
+    wrong = np.zeros(phrases.shape, bool)
+    wrong[:, 1:] = states[LANE][:, :-1] != states[0][:, 1:]
+    wrong &= follows
+    while wrong.any():
+        lang, lane = np.nonzero(wrong)
+        state = states[LANE][lang, lane - 1]
+        ends = states[LANE].copy()
+        for k in range(LANE):
+            own = states[k][lang, lane]
+            apart = state != own
+            if not apart.any():
+                break
+            lang, lane, state, own = lang[apart], lane[apart], state[apart], own[apart]
+            column = columns[lang, grid[k, lane]]
+            move, was = table[state + column], table[own + column]
+            states[k][lang, lane] = state
+            phrases[lang, lane] += (move & 3) - (was & 3)
+            state = move >> 2
+            if k == LANE - 1:
+                states[LANE][lang, lane] = state
+        changed = (states[LANE] != ends)[:, :-1]
+        wrong[:] = False
+        wrong[:, 1:] = changed & follows[1:]
     owner = np.repeat(np.arange(len(sizes)), lanes)
     absent = np.stack([np.bincount(row, (c == 0)[symbols], len(sizes)) for c in columns], 1)
-    return np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1), absent, sizes, letter
+    # A phrase is still open at a text's end unless an absent symbol was the last.
+    full = sizes > 0
+    unfinished = np.zeros((len(sizes), len(languages)))
+    unfinished[full] = (states[LANE][:, first[1:][full] - 1] != roots[:, None]).T
+    return np.stack([np.bincount(owner, p, len(sizes)) for p in phrases], 1) + unfinished, absent, sizes, letter
 
 
 def cross_parse(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
