@@ -9,6 +9,7 @@ a tier are dealt into step groups of equal tokens, balanced by their attention c
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -24,15 +25,30 @@ from .common import require
 from .textkernel import Words, slices, text_bytes, trimmed
 
 TIERS, END, STEP_TOKENS, GROUP_TOKENS, CACHE, SLICE, ENCODED = (2048, 1024, 512, 256), 1, 16_384, 4_000_000, 400_000, 1_500_000, 4_096
+# The form of tokenizers whose words can be encoded one by one.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer's file says that it lower-cases, drops white space and cuts by WORD, so that a text's ids are its words' ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    blank = [x.get("content") for x in steps if x["type"] == "Replace" and x.get("pattern") == {"Regex": r"\s+"}]
+    first, rest = cuts[0], cuts[1:]
+    cut = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": WORD}, "Removed", True)
+    return [x["type"] for x in steps] == NORMALIZERS and blank == [" "] and cut and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+
+
 class WordTokenizer:
     """Token ids of whole texts, with the distinct words of a batch encoded once.
 
-    Right for tokenizers that lower-case, drop white space and part ASCII letters and digits from other
-    ASCII punctuation than the apostrophe. Texts that may hold a special token's string are split
-    at white space only and not folded, so the tokenizer finds it.
+    Only for tokenizers of the form that by_words() finds: words part at white space, and ASCII letters and digits
+    from other ASCII punctuation than the apostrophe. All others encode whole texts. Texts that may hold a
+    special token's string are split at white space only and not folded, so the tokenizer finds it.
     """
 
     def __init__(self, path: str):
@@ -40,6 +56,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = by_words(path)
         self.clear()
 
     def clear(self) -> None:
@@ -58,6 +75,9 @@ class WordTokenizer:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows one after the other, and the offset of each row in them."""
+        if not self.by_words:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.int32), np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
         raw = text_bytes(column)[0].tobytes()
         plain = b"<|" not in raw
         words = Words(column, cut=plain)
