@@ -403,10 +403,14 @@ def test_samples_spread_over_rows_and_texts(spark):
     assert len(set(whole["x"]) & set(letters)) >= language_id.PIECES
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("lengths", [url_filter.MOST_LENGTHS, 1])
+def test_url_rules(spark, monkeypatch, lengths):
+    """Also where every prefix of a path is tried."""
+    monkeypatch.setattr(url_filter, "MOST_LENGTHS", lengths)
     rules = queries.URL_RULES
     urls = ["http://a.example.com/en/742?x=/y", "http://example.com/en/1", "HTTP://EXAMPLE.COM/en/", "https://b.example.net/de/81#t", "https://x.net/de/8", "ftp://org/es/1", "http://xorg/es/1", "http://sub.x.org/es/", "//no", None, "", "http://", "http://example.com", "a://b://c/d", "http://h?/en/", "http://example.com/EN/7"] * 2
-    df = frame(spark, list(enumerate(urls)), "page_id long, url string")
+    df = frame(spark, list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("own") for c in ("best", "Host", "RULE", "short", "digest", "suffix", "cut", "page")})
+    assert url_filter.judged(df, spark.createDataFrame(rules, "host string, path string, verdict string")).select("best", "page", "digest").distinct().collect() == [("own", "own", "own")]
     for got in url_filter.judged(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect():
         url = urls[got.page_id] or ""
         rest = url.split("://", 1)[1] if "://" in url else ""
@@ -429,7 +433,7 @@ def test_media_round_trip(spark):
 
 
 def test_media_query(spark, tmp_path):
-    rows = [(0, None), (1, ""), (2, "a" * 192), (3, "\u00e9" * 100), (4, "a" * 192), (5, "long " * 3000), (None, "x")]
+    rows = [(0, None), (1, ""), (2, "a" * 192), (3, "\u00e9" * 100), (4, "a" * 192), (5, "long " * 3000), (None, "x"), (6, "\n<b> & </p>\n \n<script>x\ny"), (7, "</figure>&amp;")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op8_media_columns(spark, str(tmp_path)).collect()}
     import hashlib
@@ -440,9 +444,57 @@ def test_media_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(media.encode_png(payload)), hashlib.sha256(media.encode_png(payload)).hexdigest())
+        lines = [bool(x.strip()) for x in (t or "").split("\n")]
+        assert (r.position, r.n_items, r.caption) == (int(lines[0]), sum(lines) + 1, f"{len(t or '')} characters in {len(lines)} lines")
     assert got[2][1:] == got[4][1:]
 
 
+def test_payloads_are_stored_once_a_task(spark):
+    rows = [(f"{i % 3:064x}", bytes([i % 3]) * 192) for i in range(900)]
+    stored = media.media_table(spark.createDataFrame(rows, "digest string, payload binary").coalesce(1))
+    assert sorted(r.digest for r in stored.collect()) == sorted({d for d, _ in rows})
+
+
+def test_figures_in_real_pages(spark):
+    """Pages of the table with several images put into them: everything stays in place, text as without images."""
+    import hashlib
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").limit(30).collect()
+    payloads = [bytes([k]) * 192 * (k + 1) for k in range(4)]
+    digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+    img = lambda k, more="": f'<img src="{media.SCHEME}{digests[k]}"{more}>'
+    figure = f"<figure>{img(0)}{img(1)}<figcaption>Two <i>of</i>\n them</figcaption></figure>"
+    more = f'</p>{img(2, " alt=&quot;A&amp;B&quot;")}{img(3)}<img src="/elsewhere.png" alt="far">'
+    shown = [(r.page_id, (cut := r.html.partition("</h1>"))[0] + cut[1] + (figure if cut[1] else "") + cut[2].replace("</p>", more, 1)) for r in pages]
+    assert sum(figure in x and more in x for _, x in shown) > 10
+    # The digest of one payload is not in the store.
+    store = media.media_table(spark.createDataFrame(list(zip(digests[:3], payloads[:3], strict=True)), "digest string, payload binary"))
+    got = media.interleaved(spark.createDataFrame([*shown, (None, None)], "page_id long, html string"), store).collect()
+    assert len({r.page_id for r in got}) == len(pages)
+    for page in pages:
+        own = sorted((r for r in got if r.page_id == page.page_id), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(own[0].n_items))
+        assert " ".join(r.text for r in own if r.kind == "text") == " ".join(i["text"] for i in media.parse_html(page.html))
+        images = [r for r in own if r.kind == "media"]
+        changed = dict(shown)[page.page_id]
+        order = sorted((changed.index(x), k) for k, x in enumerate([*digests, "/elsewhere.png"]) if x in changed)
+        assert [r.digest for r in images] == [digests[k] if k < 4 else None for _, k in order]
+        captions = {0: "Two of them", 1: "Two of them", 2: '"A&B"', 3: None, 4: "far"}
+        assert [r.caption for r in images] == [captions[k] for _, k in order]
+        assert [r.n_samples for r in images] == [len(payloads[k]) if k < 3 else None for _, k in order]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.by_words(queries.tokenizer_path()) and not packing.by_words(path)
+    plain, texts = Tokenizer.from_file(path), ["Two  Words", None, "", "\u00e9 x\ny"]
+    ids, offs = packing.WordTokenizer(path)(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_pack():
     for sizes in ([], [1], [2048], [5000, 300, 300, 7], [DRAW.randrange(1, 6000) for _ in range(200)]):
         windows = packing.pack(sizes)

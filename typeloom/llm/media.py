@@ -137,29 +137,35 @@ def parse_html(html: str | None) -> list[dict]:
     return reader.items
 
 
-def sequences(pages: DataFrame, id_column: str) -> DataFrame:
-    """id, sequence (SEQUENCE) for each row of pages (id, html); null or empty html gives an empty sequence."""
-    require(pages, id_column, "html")
+def sequences(pages: DataFrame, id_column: str, *more: str) -> DataFrame:
+    """id, more, sequence (SEQUENCE) for each row of pages (id, html, more); null or empty html gives an empty sequence."""
+    require(pages, id_column, "html", *more)
+    named = [id_column, *more]
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
         for batch in batches:
             for part in slices(batch, "html"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_html(x) for x in part.column(1).to_pylist()], kind)], [id_column, "sequence"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([parse_html(x) for x in part.columns[-1].to_pylist()], kind)], [*named, "sequence"])
 
-    return pages.select(id_column, "html").mapInArrow(run, f"{id_column} {pages.schema[id_column].dataType.simpleString()}, sequence {SEQUENCE}")
+    return pages.select(*named, "html").mapInArrow(run, ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in named) + f", sequence {SEQUENCE}")
 
 
 def media_table(payloads: DataFrame) -> DataFrame:
-    """digest, media: the stored table of payloads (digest, payload) as PNG images, written to the shared folder."""
+    """digest, media: the stored table of payloads (digest, payload) as PNG images, written to the shared folder.
+
+    A task encodes and stores a payload once, however many of its rows hold it.
+    """
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # of the task's rows
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode_png(x) for x in part.column(1).to_pylist()], pa.binary())], ["digest", "media"])
+                digests, payloads = batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256)
+                fresh = [i for i, d in enumerate(map(bytes.fromhex, digests)) if d not in done and not done.add(d)]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in fresh], pa.string()), pa.array([encode_png(payloads[i].as_py()) for i in fresh], pa.binary())], ["digest", "media"])
 
     return stored(payloads.select("digest", "payload").mapInArrow(run, "digest string, media binary"))
 
@@ -192,13 +198,15 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, f"digest string, {FEATURES}").dropDuplicates(["digest"])
 
 
-def interleaved(pages: DataFrame, media: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """id, position, kind, text, caption, digest and FEATURES: every item of every page, in place.
+def interleaved(pages: DataFrame, media: DataFrame, id_column: str = "page_id", *more: str, kinds: tuple[str, ...] = ("text", "media")) -> DataFrame:
+    """id, more, position, kind, text, caption, digest, n_items and FEATURES: every item of every page, in place.
 
-    pages: id, html. media: digest, media (media_table's). Features are computed once a digest and
-    only these small rows meet the references, so a payload that many pages share is read once.
-    Text items and references whose digest is missing or unknown stay, with null features. Pages
-    without items give no rows; repeated pages give their items each; null ids are carried through.
+    pages: id, html, more (columns that come along). media: digest, media (media_table's). Features are computed
+    once a digest and only these small rows meet the references, so a payload that many pages share is read
+    once. Text items and references whose digest is missing or unknown stay, with null features. n_items
+    counts all of a page's; kinds says which are returned. Pages without items give no rows; repeated pages
+    give their items each; null ids are carried through.
     """
-    items = sequences(pages, id_column).select(id_column, F.explode("sequence").alias("i")).select(id_column, "i.*")
+    parsed = sequences(pages, id_column, *more)
+    items = parsed.select(id_column, *more, F.size("sequence").alias("n_items"), F.explode(F.filter("sequence", lambda x: x["kind"].isin(*kinds))).alias("i")).select(id_column, *more, "n_items", "i.*")
     return items.join(stored(features(media)), "digest", "left")

@@ -57,14 +57,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of its own: a paragraph a line, and after the first its payload as a captioned figure."""
     docs = _table(spark, sf_dir, "documents")
     payload = media.padded(F.col("text"))
     digest = F.sha2(payload, 256)
     store = media.media_table(docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload"))
-    # The document's size rides in the caption; it comes back beside the reference it belongs to.
-    html = F.format_string(f'<article><p>text</p><figure><img src="{media.SCHEME}%s"><figcaption>%d</figcaption></figure></article>', digest, F.coalesce(F.octet_length("text"), F.lit(0)))
-    items = media.interleaved(docs.select("doc_id", html.alias("html")), store, "doc_id").where("kind = 'media'")
-    return items.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), F.col("n_samples").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    escaped = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    shown = F.transform(F.split(escaped(F.col("text")), "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    figure = F.concat(F.lit(f'<figure><img src="{media.SCHEME}'), digest, F.lit('"><figcaption>'), F.format_string("%d characters in %d lines", F.coalesce(F.length("text"), F.lit(0)), F.size(shown)), F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article>"), F.array_join(F.concat(F.slice(shown, 1, 1), F.array(figure), F.slice(shown, 2, 2**31 - 1)), ""), F.lit("</article>"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    items = media.interleaved(docs.select("doc_id", html.alias("html"), size.alias("n_bytes")), store, "doc_id", "n_bytes", kinds=("media",))
+    return items.select("doc_id", "n_bytes", F.col("n_samples").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
