@@ -27,7 +27,7 @@ from .common import require, stored
 from .textkernel import _ODD, U, Words, mix, power_tables, slices, trimmed
 
 SPAN, PIECE, CUT, LEAST_WORDS, HOT = 2, 25, 6, 30, 1_000
-GRAM, PASSAGE = 30, 51
+GRAM, PASSAGE = 24, 51
 #: Added to the size of a run that counts words, not sentences.
 _IN_WORDS = 1 << 30
 _STOP = np.zeros(256, bool)
