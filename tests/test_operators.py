@@ -73,6 +73,8 @@ def test_lines(spark, s):
 def test_formats(spark):
     assert one(spark, text.commit_format(F.lit("a"), F.lit("m"), F.lit("b"))) == "<commit_before>a<commit_msg>m<commit_after>b"
     assert one(spark, text.commit_format(F.lit("a"), F.lit("m"), F.lit("a"))) is None
+    assert one(spark, text.commit_format(F.lit(" \n"), F.lit("m"), F.lit("a"))) is None
+    assert one(spark, text.commit_format(F.lit("// c"), F.lit("m"), F.lit("a"))) is not None
     assert one(spark, text.infill_prompt(F.lit(" a"), F.lit("b "))) == "<fim_prefix> a<fim_suffix>b <fim_middle>"
     assert one(spark, text.duration_text(F.lit(3725.9))) == "1:02:05"
     assert one(spark, text.parse_date(F.lit("2022-01-02T03:04:05.6Z"))).year == 2022
@@ -80,15 +82,18 @@ def test_formats(spark):
 
 
 def test_curation(spark):
-    rows = [("a", "ts", "let x", "2022-01-02T00:00:00.000Z", None, None), ("b", "ts", "import y from 'z'", "2021-01-02T00:00:00.000Z", "2023-01-02T00:00:00.000Z", None), ("c", "ts", "<!DOCTYPE TS>", None, None, None), ("d", "js", " import a", "2023-01-02T00:00:00.000Z", "", None)]
+    rows = [("a", "ts", "let x", "2022-01-02T00:00:00.000Z", None, None), ("b", "ts", "import y from 'z'", "2021-01-02T00:00:00.000Z", "2023-01-02T00:00:00.000Z", None), ("c", "ts", "<!DOCTYPE TS>", None, None, None), ("d", "js", " import a", "2023-01-02T00:00:00.000Z", "", None)]
     df = spark.createDataFrame(rows, "hexsha string, ext string, content string, " + ", ".join(f"{d} string" for d in curate.DATES))
     names = lambda x: [r.hexsha for r in x.orderBy("hexsha").collect()]
     assert names(df.where(curate.is_typescript(F.col("ext"), F.col("content")))) == ["a", "b"]
     assert names(df.where(curate.self_contained(F.col("content")))) == ["a", "c"]
+    assert names(df.where(curate.self_contained(F.col("content"), lambda x: x.contains("x")))) == ["b", "c", "d"]
     assert names(curate.created_after(df)) == ["a", "d"]
-    assert curate.sample_percent(df, 50, "hexsha").count() == 2
+    assert curate.sample_percent(df, 50, "hexsha").count() == curate.sample(df, "50%", "hexsha").count() == curate.sample(df, "2", "hexsha").count() == 2
     with pytest.raises(ValueError):
         curate.threshold_filters(df, ["nothing"])
+    made = curate.gathered(df.select(F.lit(1).alias("k"), "hexsha", "ext"), ["k"], "hexsha", "ext", "all")
+    assert [(r["at"], r.x, r.num_xs) for r in curate.exploded(made, ["k"], "all", "at", "x").orderBy("at").collect()] == [(0, "ts", 4), (1, "ts", 4), (2, "ts", 4), (3, "js", 4)]
 
 
 def test_bundles(spark):
@@ -99,11 +104,14 @@ def test_bundles(spark):
 
 def test_errors_by_file(spark):
     log = "pre\nm.ts(2,1): error TS1: a\n more\nm.ts(90,1): error TS2: b\nm.ts(91,1): error TS3: c\nnode_modules/m.ts(2,1): error"
-    rows = [(1, "p", "// FILE: a.ts\ny", log), (2, "p", "no marks", "node_modules/x.ts(1,1): e\n f"), (3, "p", "no marks", "")]
+    rows = [(1, "p", "// FILE: a.ts\ny", log), (2, "p", "no marks", "node_modules/x.ts(1,1): e\n f"), (3, "p", "no marks", ""), (4, "p", "", "m.ts(1,1): e"), (5, "p", "x\n// FILE: a.ts\n// FILE: b.ts", "m.ts(4,1): e\nm.ts(1,1): f"), (6, "p", "no marks", "pre\nm.ts(1,1): e")]
     got = {(r.k, r.file): (r.errors, r.all_errors) for r in lines.split_errors(spark.createDataFrame(rows, "k int, name string, output string, tsc_logs string"), ["k"]).collect()}
     assert got[1, "a.ts"][0] == ["m.ts(2,1): error TS1: a\n more"]
-    assert got[1, "p"] == (["m.ts(91,1): error TS3: c"], ["pre", "m.ts(90,1): error TS2: b", "m.ts(91,1): error TS3: c"])
-    assert got[2, "p"][0] == ["node_modules/x.ts(1,1): e", " f"] and (3, "p") not in got
+    assert got[1, "p"] == (["m.ts(91,1): error TS3: c"], ["m.ts(90,1): error TS2: b", "m.ts(91,1): error TS3: c"])
+    assert got[2, "p"][0] == ["node_modules/x.ts(1,1): e\n f"] and got[3, "p"] == ([], []) and got[4, "p"][0] == ["m.ts(1,1): e"]
+    # One past the last line is the last file's; a file without errors is there all the same.
+    assert got[5, "b.ts"][0] == ["m.ts(4,1): e"] and got[5, "a.ts"] == ([], []) and got[5, "p"][0] == ["m.ts(1,1): f"]
+    assert got[6, "p"][0] == ["pre", "m.ts(1,1): e"] and len(got) == 9
 
 
 def test_sources(spark, tmp_path):
@@ -118,6 +126,10 @@ def test_sources(spark, tmp_path):
         io.guard_absent(spark, [f"{tmp_path}/t.orc"])
     with pytest.raises(FileNotFoundError):
         io.load_dataset(spark, "someone/some-dataset")
+    assert io.load_corpus(spark, f"{tmp_path}/plain").count() == io.existing_or(spark, f"{tmp_path}/plain", lambda: 1 / 0).count() == 2
+    with pytest.raises(ValueError, match="Parquet"):
+        io.load_corpus(spark, f"{tmp_path}/t.jsonl")
+    assert io.exists(spark, io.scratch(spark)) is False
     io.write_jsonl(f"{tmp_path}/r.jsonl", [{"a": math.nan}])
     assert Path(tmp_path, "r.jsonl").read_text() == '{"a": NaN}\n' and math.isnan(io.read_jsonl(f"{tmp_path}/r.jsonl")[0]["a"])
     assert io.markdown([{"m": "x", "n": 1}]) == "| m | x |\n| --- | --- |\n| n | 1 |\n"
@@ -150,18 +162,35 @@ def test_published_tables(spark, name, want):
     assert got == [f"{d} & {m} & {line} \\\\" for (d, m), line in zip(shown, want, strict=True)]
 
 
-def test_summary_columns():
+def test_summary_columns(spark):
     from typeloom.plans import fixtures
 
-    assert len(fixtures._LEVEL3) == len(set(fixtures._LEVEL3)) == 58
+    names = fixtures._rollup(spark, "/root/testdata/sf0.001")[2].columns
+    assert len(names) == len(set(names)) == 58
 
 
-def test_lookup():
+def test_lookup(spark):
     assert lookup.parse_index("3.4") == (3, 4) and lookup.parse_index("3") == (3, 0) and lookup.parse_index("3.") == (3, 0) and lookup.parse_index(".2", 7) == (7, 2)
     with pytest.raises(ValueError):
         lookup.parse_index("x")
-    assert lookup.neighbour(0, -1, 5) == 4
+    sizes = [2, 1, 3]
+    walk = [((0, 1), "forward", (1, 0)), ((0, 0), "forward", (0, 1)), ((1, 0), "backward", (0, 1)), ((2, 2), "backward", (2, 1)), ((0, 1), "next", (1, 0)), ((2, 2), "previous", (1, 0))]
+    assert all(lookup.step(at, move, sizes) == to for at, move, to in walk)
+    for at, move in (((2, 2), "forward"), ((0, 0), "backward"), ((2, 0), "next"), ((0, 1), "previous")):
+        with pytest.raises(IndexError):
+            lookup.step(at, move, sizes)
+    with pytest.raises(ValueError):
+        lookup.step((0, 0), "up", sizes)
+    assert lookup.goto((2, 1), ".2", sizes) == (2, 2) and lookup.goto((2, 1), "0.1", sizes) == (0, 1) and lookup.goto((2, 1), "1", sizes) == (1, 0)
+    for wrong in ("1.1", "3", ".3"):
+        with pytest.raises(IndexError):
+            lookup.goto((2, 1), wrong, sizes)
+    assert lookup.selected("abc", [2, 0]) == ["c", "a"] and lookup.selected("abc", []) == ["a", "b", "c"]
+    with pytest.raises(IndexError, match="-1, 3 out of range"):
+        lookup.selected("abc", [-1, 1, 3])
     assert "+b" in lookup.difference("a", "b")
+    told = lookup.shown(spark.createDataFrame([("m", 3, 0.5, 1.26, 0.333)], "model string, n long, pct_x double, avg_y double, `pass@1_z` double")).first()
+    assert list(told) == ["m", 3, "50.0%", "1.3", "33.3%"]
 
 
 def test_stream_of_checks(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +70,14 @@ def slices(text: Column, most: int) -> Column:
     return F.aggregate(lines_with_ends(text), start, add, lambda s: F.concat(s["done"], F.array(s["now"])))
 
 
-def commit_format(before: Column, message: Column, after: Column) -> Column:
-    """Training text of an edit; NULL if a side is empty or nothing changes."""
+def commit_format(before: Column, message: Column, after: Column, empty: Callable[[Column], Column] | None = None) -> Column:
+    """Training text of an edit; NULL if a side is empty or nothing changes.
+
+    empty: which texts count as empty; by default those of white space alone. operators.programs.is_empty looks past comments as well.
+    """
+    empty = empty or (lambda x: strip(x) == "")
     text = F.concat(F.lit(COMMIT_BEFORE), before, F.lit(COMMIT_MSG), message, F.lit(COMMIT_AFTER), after)
-    return F.when((before != "") & (after != "") & (before != after), text)
+    return F.when(~empty(before) & ~empty(after) & (before != after), text)
 
 
 def edit_prompt(code: Column, instruction: Column, prefix: Column | None = None) -> Column:

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, parse_date
 
 # Text that marks .ts files in other formats; lines that need other files; thresholds.
 NOT_TYPESCRIPT = ("<!DOCTYPE TS>", "GOCAD TSurf", "@problemName")
-NEEDS_OTHER_FILES = (
-    r"^\s*import\s",
-    r"^.*require\(",
-    r"^export\s+\{[^}]*\}\s+from\s",
-    r"^export\s+\*",
-)
+IMPORTS = r"^\s*import(\*|\{|\s)"
+REQUIRES = r"^.*\s+require\s*\(.+\)"
+EXPORTS = r"^export[^\w_$]"
+EXPORTS_OWN = r"^export[^\w_$]\s*(function|class|interface|type|enum|const|declare|default|async)"
 THRESHOLDS = {
     "annotation_sites": "annotation_sites > 0",
     "type_definitions": "type_definitions > 0",
@@ -41,9 +39,15 @@ def is_typescript(ext: Column, content: Column) -> Column:
     return (ext == "ts") & lacks(content, NOT_TYPESCRIPT)
 
 
-def self_contained(content: Column, patterns: Iterable[str] = NEEDS_OTHER_FILES) -> Column:
-    """No line begins like one of the patterns (Unicode white space and word characters)."""
-    return ~F.exists(lines(content), lambda x: F.reduce(F.array(*(x.rlike("(?U)" + p) for p in patterns)), F.lit(False), lambda a, b: a | b))
+def needs_other_files(line: Column) -> Column:
+    """Whether a line imports, requires or exports what it doesn't define itself (Unicode white space and word characters)."""
+    like = lambda pattern: line.rlike("(?U)" + pattern)
+    return like(IMPORTS) | like(REQUIRES) | (like(EXPORTS) & ~like(EXPORTS_OWN))
+
+
+def self_contained(content: Column, rejected: Callable[[Column], Column] = needs_other_files) -> Column:
+    """No line is rejected."""
+    return ~F.exists(lines(content), rejected)
 
 
 def threshold_filters(df: DataFrame, names: Iterable[str], known: dict[str, str] = THRESHOLDS) -> DataFrame:
@@ -84,8 +88,13 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def sample_percent(df: DataFrame, percent: float, key: str, seed: int = 0) -> DataFrame:
-    """round(percent % of the rows) rows, halves to even."""
-    return sample_exact(df, round(df.count() * percent / 100), key, seed)
+    """round(percent / 100 of the rows) rows, halves to even."""
+    return sample_exact(df, round(df.count() * (percent / 100)), key, seed)
+
+
+def sample(df: DataFrame, size: str, key: str, seed: int = 0) -> DataFrame:
+    """A sample of a size as one writes it: `250` rows or `2.5%` of them."""
+    return sample_percent(df, float(size.rstrip("%")), key, seed) if size.endswith("%") else sample_exact(df, int(size), key, seed)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -120,8 +129,11 @@ def replace_by_key(df: DataFrame, new: DataFrame, keys: list[str], column: str)
     return df.drop(column).join(new.select(*keys, column), keys, "left")
 
 
-def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+def exploded(df: DataFrame, keys: list[str], column: str, index: str, value: str) -> DataFrame:
+    """keys, index (from 0), value, and how many there are as num_<value>s: the entries of an array column."""
+    return df.select(*keys, F.size(column).cast("long").alias(f"num_{value}s"), F.posexplode(column).alias(index, value)).withColumn(index, F.col(index).cast("long"))
 
 
-FILTERS: dict[str, Callable[[DataFrame], DataFrame]] = {name: (lambda df, c=c: df.filter(c)) for name, c in THRESHOLDS.items()}
+def gathered(df: DataFrame, keys: list[str], index: str, value: str, column: str) -> DataFrame:
+    """keys, column: the values of each key as an array in the order of the index, however the rows came."""
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias(column))

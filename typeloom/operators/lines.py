@@ -42,11 +42,13 @@ def split_files(df: DataFrame, keys: list[str], text: str = "content", default:
 
 
 def lines_to_file(df: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    """keys, line_no, file: line numbers from 0 to one past the last, '' where no marker has come; the
-    padding line at each end has ''."""
-    rows = fill_forward(numbered(df, text, keys), _mark(F.col("line")), keys, "pos", F.lit(""), "file").select(*keys, F.col("pos").alias("line_no"), "file")
-    ends = df.select(*keys, F.explode(F.array(F.lit(0), F.size(lines(F.col(text))) + 1)).alias("line_no")).withColumn("file", F.lit(""))
-    return rows.unionByName(ends)
+    """keys, line_no, file: the file of every line, '' where no marker has come.
+
+    Line 0 has ''; one past the last line has the last file, as errors may point there.
+    """
+    padded = F.concat(F.array(F.lit("")), lines(F.col(text)), F.array(F.lit("")))
+    rows = df.select(*keys, F.posexplode(padded).alias("line_no", "line"))
+    return fill_forward(rows, _mark(F.col("line")), keys, "line_no", F.lit(""), "file").select(*keys, "line_no", "file")
 
 
 def split_log(df: DataFrame, keys: list[str], text: str = "tsc_logs") -> DataFrame:
@@ -58,23 +60,28 @@ def split_log(df: DataFrame, keys: list[str], text: str = "tsc_logs") -> DataFra
 
 
 def split_errors(df: DataFrame, keys: list[str], name: str = "name", output: str = "output", log: str = "tsc_logs") -> DataFrame:
-    """keys, file, errors, all_errors: the errors of each file of a bundled output.
+    """keys, file, errors, all_errors: the errors of each file of a bundled output, [] for files without any.
 
-    Without markers every log line counts, for the name. With markers, records that mention
-    node_modules are dropped, and each goes to the file its line number lies in; a record that
-    no file owns goes to the name, where a later one replaces an earlier (all_errors has them all).
+    Errors are whole records, a header and its continuation lines. Without markers all of them belong to the name. With
+    markers, records that mention node_modules and lines before the first header are dropped, and each
+    error goes to the file its line number lies in; one that no file owns goes to the
+    name, where a later one replaces an earlier (all_errors has them all).
     """
     base = df.select(*keys, F.col(name).alias("_name"), F.col(output).alias("_output"), F.col(log).alias("_log"))
-    marked = base.withColumn("_marked", F.exists(lines(F.col("_output")), lambda x: x.rlike(FILE_MARK)))
-    plain = marked.where("not _marked").select(*keys, F.col("_name").alias("file"), lines(F.col("_log")).alias("errors")).where("size(errors) > 0").withColumn("all_errors", F.col("errors"))
-    records = split_log(marked.where("_marked"), keys, "_log").where(~F.contains("error", F.lit("node_modules")))
-    owners = lines_to_file(marked.where("_marked"), keys, "_output")
-    placed = records.withColumn("line_no", F.regexp_extract("error", ERROR_HEAD, 2).try_cast("int")).join(owners, [*keys, "line_no"], "left").join(marked.select(*keys, "_name"), keys)
-    placed = placed.withColumn("known", F.coalesce(F.col("file") != "", F.lit(False))).withColumn("file", F.when(F.col("known"), F.col("file")).otherwise(F.col("_name")))
+    base = base.withColumn("_marked", F.exists(lines(F.col("_output")), lambda x: x.rlike(FILE_MARK)))
+    owners = lines_to_file(base.where("_marked"), keys, "_output")
+    records = split_log(base, keys, "_log").join(base.select(*keys, "_name", "_marked"), keys)
+    counted = records.where(~F.col("_marked") | ~(F.col("orphan") | F.contains("error", F.lit("node_modules"))))
+    placed = counted.withColumn("line_no", F.when(F.col("_marked"), F.regexp_extract("error", ERROR_HEAD, 2).try_cast("int"))).join(owners, [*keys, "line_no"], "left")
+    known = F.when(F.col("_marked"), F.coalesce(F.col("file") != "", F.lit(False))).otherwise(True)
+    placed = placed.withColumn("known", known).withColumn("file", F.when(F.col("_marked") & F.col("known"), F.col("file")).otherwise(F.col("_name")))
     grouped = placed.groupBy(*keys, "file").agg(F.array_sort(F.collect_list(F.struct("record", "error", "known"))).alias("r"))
     every = F.transform("r", lambda x: x["error"])
-    counted = F.when(F.element_at("r", -1)["known"], F.transform(F.filter("r", lambda x: x["known"]), lambda x: x["error"])).otherwise(F.slice(every, -1, 1))
-    return plain.unionByName(grouped.select(*keys, "file", counted.alias("errors"), every.alias("all_errors")))
+    left = F.when(F.element_at("r", -1)["known"], F.transform(F.filter("r", lambda x: x["known"]), lambda x: x["error"])).otherwise(F.slice(every, -1, 1))
+    found = grouped.select(*keys, "file", left.alias("errors"), every.alias("all_errors"))
+    files = owners.where("file <> ''").select(*keys, "file").union(base.where("not _marked").select(*keys, "_name")).distinct()
+    none = F.array().cast("array<string>")
+    return files.join(found, [*keys, "file"], "full_outer").select(*keys, "file", F.coalesce("errors", none).alias("errors"), F.coalesce("all_errors", none).alias("all_errors"))
 
 
 def merge_files(files: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import tarfile
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -96,6 +100,40 @@ def markdown(rows: list[dict[str, Any]]) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in [[names[0], *head], ["---"] * (len(rows) + 1), *body]) + "\n"
 
 
+def load_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus as Parquet, a file or a folder; JSON lines and other forms are refused."""
+    if PurePosixPath(path.rstrip("/")).suffix not in ("", ".parquet"):
+        raise ValueError(f"a corpus is read from Parquet, not from {path}")
+    return load_dataset(spark, path)
+
+
+def extract_tar(archive: str, folder: str) -> list[str]:
+    """Unpack an archive of type declarations, and say which files it held. Members that lead out of the folder are refused."""
+    with tarfile.open(archive) as tar:
+        tar.extractall(folder, filter="data")
+        return sorted(m.name for m in tar.getmembers() if m.isfile())
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under the one in spark.checkpoint.dir; a temporary one on local masters where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key has no result yet."""
+    return rows.join(done, key, "left_anti")
+
+
+def passed(rows: DataFrame, done: DataFrame, key: str, ok: str = "ok") -> DataFrame:
+    """Rows whose result is good; raises if one has no result yet."""
+    if pending(rows, done, key).limit(1).count():
+        raise KeyError("some rows have not been checked")
+    return rows.join(done.where(F.col(ok)), key, "left_semi")
+
+
 class Checkpoint:
     """Results of a slow check keyed by a unique column, appended as Parquet, so a stopped run goes on."""
 
@@ -111,14 +149,11 @@ class Checkpoint:
         return table.groupBy(self.key).agg({"ok": "min"}).toDF(self.key, "ok")
 
     def pending(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.done(), self.key, "left_anti")
+        return pending(rows, self.done(), self.key)
 
     def append(self, results: DataFrame) -> None:
         results.select(self.key, "ok").write.mode("append").parquet(self.path)
 
     def passed(self, rows: DataFrame) -> DataFrame:
         """Rows whose check was good; raises if one has no result yet."""
-        missing = self.pending(rows).limit(1).count()
-        if missing:
-            raise KeyError("some rows have not been checked")
-        return rows.join(self.done().where("ok"), self.key, "left_semi")
+        return passed(rows, self.done(), self.key)

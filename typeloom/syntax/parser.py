@@ -565,11 +565,17 @@ class Parser:
         """Type parameters, formal parameters, return annotation."""
         types = self.type_parameters()
         parameters = self.parameters()
-        return [types, parameters, self.annotation(True) if self.sees(":") else None]
+        back = self.annotation(True) if self.sees(":") else None
+        for child, field in ((types, "type_parameters"), (back, "return_type")):
+            if child is not None:
+                child.field = field
+        return [types, parameters, back]
 
     def parameters(self) -> Node:
         start = self.need("(").start
-        return self.node("formal_parameters", start, *self.listed(")", self.parameter))
+        out = self.node("formal_parameters", start, *self.listed(")", self.parameter))
+        out.field = "parameters"
+        return out
 
     def parameter(self) -> Node:
         start = self.now.start

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
+from collections.abc import Callable
 
 from .parser import Node, Tree, parse
+from .query import run_query
 
 # Kinds of annotations, definitions and functions; annotations that say nothing.
 ANNOTATIONS = ("type_annotation", "opting_type_annotation", "omitting_type_annotation")
@@ -14,13 +16,18 @@ FUNCTIONS = ("function_declaration", "function", "arrow_function", "method_defin
 TRIVIAL = ("any", "Array<any>", "any[]", "Function")
 
 
+def part(source: str, start: int, end: int) -> str:
+    """A piece of a program as a file would be read: a byte order mark at its start is dropped."""
+    return source[start:end].removeprefix("\ufeff")
+
+
 def without_spans(source: str, spans: list[tuple[int, int]]) -> str:
     """The source without these spans; overlapping ones are merged first."""
     out, at = [], 0
     for start, end in sorted(spans):
-        out.append(source[at : max(at, start)])
+        out.append(part(source, at, max(at, start)))
         at = max(at, end)
-    return "".join([*out, source[at:]]).removeprefix("﻿")
+    return "".join([*out, part(source, at, len(source))])
 
 
 def is_valid(source: str) -> bool:
@@ -54,7 +61,7 @@ def site_ends(source: str, outermost: bool = False) -> list[int]:
 
 def split_at_sites(source: str, outermost: bool = False) -> list[str]:
     ends = [0, *site_ends(source, outermost), len(source)]
-    return [source[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return [part(source, a, b) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def count_sites(source: str, outermost: bool = False) -> int:
@@ -146,7 +153,8 @@ def count_definitions(source: str) -> int:
 
 
 def count_functions(source: str) -> int:
-    return len(parse(source).find(*FUNCTIONS))
+    """Functions of the program without its types."""
+    return len(parse(delete_types(source)).find(*FUNCTIONS))
 
 
 def count_loc(source: str) -> int:
@@ -155,20 +163,22 @@ def count_loc(source: str) -> int:
 
 
 def loc_per_function(source: str) -> float:
-    """Mean lines of a function's body, as count_loc counts them; 0 without functions."""
-    tree = parse(source)
+    """Mean lines of a function's body without types and its own braces, as count_loc counts them; 0 without functions."""
+    tree = parse(delete_types(source))
     bodies = [b for n in tree.find(*FUNCTIONS) if (b := n.of_field("body")) is not None]
-    return sum(count_loc(tree.text(b)) for b in bodies) / len(bodies) if bodies else 0.0
+    return sum(count_loc(tree.text(b).strip().strip("{}")) for b in bodies) / len(bodies) if bodies else 0.0
 
 
 def extract_type(generated: str) -> str | None:
-    """The type a model wrote for a gap: the first annotation of `let x: ...`."""
-    found = annotation_texts(f"let x: {generated}")
-    return found[0] if found else None
+    """The type that a model wrote for a gap: that of the first variable of `let x: ...`."""
+    template = f"let x: {generated}"
+    found = run_query(template, "(variable_declarator type: (type_annotation (_) @type))")
+    return part(template, found[0][0].start, found[0][0].end) if found else None
 
 
 def commit_format(before: str, message: str, after: str) -> str | None:
-    if not before or not after or before == after:
+    """Training text of an edit; None if a side holds nothing but comments, or nothing changes."""
+    if is_empty(before) or is_empty(after) or before == after:
         return None
     return f"<commit_before>{before}<commit_msg>{message}<commit_after>{after}"
 
@@ -177,28 +187,57 @@ def commit_format(before: str, message: str, after: str) -> str | None:
 ADD_ALL, ADD_ANNOTATIONS, ADD_DEFINITIONS, ADD_ONE = "Add type annotations and interfaces", "Add type annotations", "Add type aliases and interfaces", "Add a type alias or interface for "
 
 
-def training_text(source: str, form: int, seed: str) -> str | None:
-    """A training example in one of four forms; what is random depends on the seed alone.
+def drawn(seed: str, label: str, below: int) -> int:
+    """A number under `below` that depends on the seed and the label alone: their MD5, modulo `below`."""
+    return int(hashlib.md5(f"{seed}:{label}".encode()).hexdigest(), 16) % below
+
+
+def _untyped(source: str) -> str:
+    return delete_assertions(delete_annotations(source)).strip()
+
+
+def all_at_once(source: str, seed: str) -> str | None:
+    return commit_format(delete_types(source).strip(), ADD_ALL, source)
+
+
+def definitions_first(source: str, seed: str) -> str | None:
+    """Definitions to a program without types, or annotations to one with definitions."""
+    bare = _untyped(source)
+    if drawn(seed, "step", 2) == 0:
+        return commit_format(delete_definitions(bare).strip(), ADD_DEFINITIONS, bare)
+    return commit_format(bare, ADD_ANNOTATIONS, source)
+
+
+def annotations_first(source: str, seed: str) -> str | None:
+    """Annotations to a program without types, or definitions to one with annotations."""
+    undefined = delete_definitions(source).strip()
+    if drawn(seed, "step", 2) == 0:
+        return commit_format(_untyped(undefined), ADD_ANNOTATIONS, undefined)
+    return commit_format(undefined, ADD_DEFINITIONS, source)
+
+
+def one_by_one(source: str, seed: str) -> str | None:
+    """One definition back to a program that lacks some; annotations where there is no definition.
 
-    1: all types at once. 2: definitions first or annotations second. 3: annotations first or
-    definitions second. 4: one definition back of some removed; annotations where there is none.
-    NULL where there's nothing to learn.
+    Every definition is drawn or not, again until one is: all sets of some are equally likely.
     """
-    draw, whole = random.Random(seed), source.strip()
-    if form == 1:
-        return commit_format(delete_types(whole).strip(), ADD_ALL, whole)
-    if form == 2:
-        bare = delete_assertions(delete_annotations(whole)).strip()
-        if draw.random() < 0.5:
-            return commit_format(delete_definitions(bare).strip(), ADD_DEFINITIONS, bare)
-        return commit_format(bare, ADD_ANNOTATIONS, whole)
-    nodes = definitions(whole)
-    if form == 3 or not nodes:
-        undefined = delete_definitions(whole).strip()
-        if form == 4 or draw.random() < 0.5:
-            return commit_format(delete_assertions(delete_annotations(undefined)).strip(), ADD_ANNOTATIONS, undefined)
-        return commit_format(undefined, ADD_DEFINITIONS, whole)
-    gone = [n for n in nodes if draw.random() < 0.5] or [draw.choice(nodes)]
-    back = draw.choice(gone)
-    left = [n for n in gone if n is not back]
-    return commit_format(delete_definition_nodes(whole, gone), ADD_ONE + _defined_name(parse(whole), back), delete_definition_nodes(whole, left))
+    nodes = definitions(source)
+    if not nodes:
+        return commit_format(_untyped(source), ADD_ANNOTATIONS, source)
+    gone, again = [], 0
+    while not gone:
+        gone = [n for i, n in enumerate(nodes) if drawn(seed, f"{again}:{i}", 2) == 0]
+        again += 1
+    back = gone[drawn(seed, "back", len(gone))]
+    return commit_format(delete_definition_nodes(source, gone), ADD_ONE + _defined_name(parse(source), back), delete_definition_nodes(source, [n for n in gone if n is not back]))
+
+
+#: Training forms by name: (stripped source, seed) to a text or None. More can be added.
+FORMS: dict[str, Callable[[str, str], str | None]] = {"all_at_once": all_at_once, "definitions_first": definitions_first, "annotations_first": annotations_first, "one_by_one": one_by_one}
+
+
+def training_text(source: str, form: str, seed: str) -> str | None:
+    """A training example in one of FORMS; what is random depends on the seed alone. None where there's nothing to learn."""
+    if form not in FORMS:
+        raise ValueError(f"no form is named {form}; there are {', '.join(FORMS)}")
+    return FORMS[form](source.strip(), seed)
