@@ -563,58 +563,40 @@ def test_packed_query(spark, tmp_path):
         by_sequence[r.sequence_id] += r.length
 
 
-def test_scores(spark):
-    rows = [(0, "Abab abab"), (1, "cdcd cdcd"), (2, ""), (3, None), (4, "ab\u00e9 \U0001f600"), (4, "ab\u00e9 \U0001f600")]
-    df = frame(spark, rows, "doc_id long, text string")
-    target = spark.createDataFrame([(0,), (0,), (None,)], "doc_id long")
-    got = lm_scoring.score(df, target, order=3, size=6).collect()
-    assert len(got) == 6
-    points = [p for p, _ in sorted(Counter(c for _, t in rows for c in (t or "").lower()).items(), key=lambda x: (-x[1], ord(x[0])))][:4]
-    index = {c: 2 + k for k, c in enumerate(points)}
-    streams = [(i, [0, 0, *(index.get(c, 1) for c in (t or "").lower()), 0]) for i, t in rows]
-
-    def loss(own, stream):
-        def chance(context, token):
-            counts = Counter(s[j] for s in own for j in range(2, len(s)) if tuple(s[j - len(context) : j]) == context)
-            total, kinds = sum(counts.values()), len(counts)
-            lower = chance(context[1:], token) if context else 1 / 6
-            return (counts[token] + kinds * lower) / (total + kinds) if total else lower
-
-        return sum(-math.log2(chance(tuple(stream[j - 2 : j]), stream[j])) for j in range(2, len(stream))) / (len(stream) - 2)
-
-    every, mine = [s for _, s in streams], [streams[0][1]]
-    for r in got:
-        stream = next(s for i, s in streams if i == r.doc_id)
-        assert r.n_tokens == len(stream) - 2
-        assert r.loss_background == pytest.approx(loss(every, stream), abs=1e-4) and r.loss_target == pytest.approx(loss(mine, stream), abs=1e-4)
-        assert r.score == pytest.approx(r.loss_background - r.loss_target, abs=1e-9)
-
-
-def test_word_scores(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_word_scores(spark, order):
     """Every word counts, in any script, however many blocks the rows are dealt into."""
     rare = ["\u0436\u0443\u043a \u0438\u0434\u0451\u0442", "\u043c\u0430\u043c\u0430 \u043c\u044b\u043b\u0430", "\u9f98\u9f96", "\u9f99\u9f97"]
-    rows = [(i, " ".join(words(5 + 3 * i)) + ", Bee.") for i in range(12)] + [(20 + i, t) for i, t in enumerate(rare)] + [(30, None), (31, ""), (None, "a b"), (0, "again a"), (3, "b b b")]
+    rows = [(i, " ".join(words(5 + 3 * i)) + ", Bee.") for i in range(12)] + [(20 + i, t) for i, t in enumerate(rare)] + [(30, None), (31, ""), (None, "a b"), (0, "again a b a b"), (3, "b b b a b")]
     target = spark.createDataFrame([(0,), (3,), (3,), (20,), (22,), (None,), (99,)], "doc_id int")
     split = lambda t: "".join(f" {c} " if c in ",." or c > "\u9000" else c for c in (t or "").lower()).split()
-    streams = [(i, t, ["", *split(t), ""]) for i, t in rows]
+    streams = [(i, [*[""] * (order - 1 or 1), *split(t), ""]) for i, t in rows]
+    lead = order - 1 or 1
 
     def model(own):
-        return Counter(w for s in own for w in s[:-1]), Counter(p for s in own for p in zip(s, s[1:], strict=False))
-
-    every, mine = model([s for _, _, s in streams]), model([s for i, _, s in streams if i in (0, 3, 20, 22)])
-
-    def loss(counts, stream):
-        of, pairs = counts
-        mass = lambda c: max(1, c**lm_scoring.HEAPS)
-        total, bits = sum(of.values()), 0.0
-        for v, w in zip(stream, stream[1:], strict=False):
-            single = (of[w] + mass(total) * every[0][w] / sum(every[0].values())) / (total + mass(total))
-            bits -= math.log2((pairs[v, w] + mass(of[v]) * single) / (of[v] + mass(of[v])))
-        return bits / (len(stream) - 1)
-
-    want = sorted((i is None, i or 0, len(s) - 1, round(loss(mine, s), 6), round(loss(every, s), 6)) for i, _, s in streams)
+        """Counts of n-grams that end with a predicted token, and of their contexts."""
+        grams, contexts = Counter(), Counter()
+        for s in own:
+            for j in range(lead, len(s)):
+                for n in range(1, order + 1):
+                    grams[tuple(s[j - n + 1 : j + 1])] += 1
+                    contexts[tuple(s[j - n + 1 : j])] += 1
+        return grams, contexts
+
+    every, mine = model([s for _, s in streams]), model([s for i, s in streams if i in (0, 3, 20, 22)])
+    mass = lambda c: max(1, c**lm_scoring.HEAPS)
+
+    def chance(counts, context, w):
+        grams, contexts = counts
+        lower = chance(counts, context[1:], w) if context else every[0][(w,)] / every[1][()]
+        return (grams[(*context, w)] + mass(contexts[context]) * lower) / (contexts[context] + mass(contexts[context]))
+
+    def loss(counts, s):
+        return sum(-math.log2(chance(counts, tuple(s[j - order + 1 : j]), s[j])) for j in range(lead, len(s))) / (len(s) - lead)
+
+    want = sorted((i is None, i or 0, len(s) - lead, round(loss(mine, s), 6), round(loss(every, s), 6)) for i, s in streams)
     for size in (10**6, 60):
-        got = lm_scoring.score_words(frame(spark, rows, "doc_id long, text string"), target, size).collect()
+        got = lm_scoring.score_words(frame(spark, rows, "doc_id long, text string"), target, size, order).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.loss_target, 6), round(r.loss_background, 6)) for r in got) == want
         by_id = {r.doc_id: r.score for r in got}
         assert by_id[20] > by_id[21] and by_id[22] > by_id[23]

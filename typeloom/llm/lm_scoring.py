@@ -1,157 +1,50 @@
 """Documents scored by the cross-entropy difference of two n-gram models.
 
-A target model (rows marked in_domain) and a background model (all rows) are matched: same
-order, same smoothing, one vocabulary. score = background loss - target loss, in bits a token.
+A target model (rows named as in-domain) and a background model (all rows) are matched: same
+order, same smoothing, one vocabulary, which is every word of the corpus, so the models grow with the input.
+score = background loss - target loss, in bits a token.
 
-score_words: word pairs over every word of the corpus, so the model grows with the input. Rows
-are dealt into blocks. Each block counts its distinct words and pairs, sends them sorted by 63-bit
+Rows are dealt into blocks. Each block counts its distinct n-grams and their contexts, sends them sorted by 64-bit
 hash to buckets, where the blocks' counts are added up, and gets the sums of its own back.
-
-score: a small model that can be broadcast. Tokens are characters, lower-cased: the most frequent
-ones of the whole corpus, one token for all others, and a boundary. Counts cover every token of
-every row; the vocabulary's size bounds the model (vocabulary ** order entries), however large
-the corpus is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, stored
-from .textkernel import _ODD, U, Words, code_points, mix, slices, trimmed
+from .common import require
+from .textkernel import _ODD, U, Words, mix
 
-ORDER, VOCABULARY = 4, 48
+ORDER = 2
 #: Bytes of text in a block, blocks whose counts make up a bucket, and the power of a context's count that its unseen successors weigh.
 BLOCK_BYTES, BLOCKS_PER_BUCKET, HEAPS = 8_000_000, 2, 0.75
-_EDGE, _OTHER = 0, 1
-
-
-def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return code_points(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """The size - 2 most frequent lower-cased code points of all texts; ties go to the smaller."""
-
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                points, _ = _lowered(part.column(0))
-                seen = np.bincount(points)
-                total[: len(seen)] += seen
-        point = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(total[point])], ["point", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r.point for r in counts.orderBy(F.desc("n"), "point").limit(size - 2).collect()]
-
-
-def _codes(column: pa.Array, table: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each token, which rows they are of, tokens of each row."""
-    points, offs = _lowered(column)
-    tokens, rows = np.diff(offs), len(offs) - 1
-    stream = np.zeros(len(points) + rows * order, np.int64)
-    row = np.repeat(np.arange(rows), tokens)
-    stream[np.arange(len(points)) + row * order + order - 1] = table[points]
-    code = np.zeros(len(stream) - order + 1 if rows else 0, np.int64)
-    for k in range(order):
-        code = code * size + stream[k : k + len(code)]
-    starts = offs[:-1] + np.arange(rows) * order
-    own = np.repeat(np.arange(rows), tokens + 1)
-    at = np.arange(len(own)) + own * (order - 1)
-    assert rows == 0 or at[-1] < len(code) and starts[-1] <= at[-1]
-    return code[at], own, tokens + 1
-
-
-def _table(points: list[int]) -> np.ndarray:
-    table = np.full(0x110000, _OTHER, np.uint8)
-    table[points] = np.arange(2, 2 + len(points))
-    return table
-
-
-def ngram_counts(docs: DataFrame, points: list[int], order: int = ORDER, size: int = VOCABULARY) -> DataFrame:
-    """(code, background, target) over docs (text, in_domain): every n-gram with its counts."""
-
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = _table(points), np.zeros((2, size**order), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                code, own, _ = _codes(part.column(0), table, order, size)
-                inside = np.asarray(part.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
-                for k, of in enumerate((code, code[inside[own]])):
-                    seen = np.bincount(of)
-                    total[k, : len(seen)] += seen
-        found = np.flatnonzero(total[0])
-        for at in range(0, len(found), 200_000):
-            some = found[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["code", "background", "target"])
-
-    return docs.select("text", "in_domain").mapInArrow(run, "code long, background long, target long").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(counts: np.ndarray, size: int, order: int) -> np.ndarray:
-    """Bits of every n-gram's last token given the others, interpolated after Witten and Bell."""
-    grams = [counts.reshape((size,) * order).astype(np.float64)]
-    for _ in range(order - 1):
-        grams.append(grams[-1].sum(0))
-    chance = np.full(size, 1.0 / size)
-    for gram in reversed(grams):
-        seen, kinds = gram.sum(-1, keepdims=True), (gram > 0).sum(-1, keepdims=True)
-        mass = np.maximum(seen + kinds, 1e-300)
-        chance = np.where(seen > 0, (gram + kinds * chance) / mass, np.broadcast_to(chance, gram.shape))
-    return -np.log2(chance).astype(np.float32).reshape(-1)
-
-
-def score(docs: DataFrame, in_domain: DataFrame, order: int = ORDER, size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text).
 
-    in_domain (doc_id) names the target's rows; repeated and null ids there change nothing. n_tokens
-    counts characters and the closing boundary, so an empty or null text has one token. Losses
-    are bits a token; with no target rows the target model is uniform. Repeated rows count each time and
-    score alike. Empty docs give no rows. Other columns are ignored.
-    """
-    require(docs, "doc_id", "text")
-    points = vocabulary(docs, size)
-    marked = docs.select("doc_id", "text").join(in_domain.select("doc_id", F.lit(True).alias("in_domain")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left")
-    counts = ngram_counts(marked, points, order, size)
-    found = stored(counts).toArrow()  # at most size ** order rows
-    dense = np.zeros((2, size**order), np.int64)
-    dense[:, found["code"].to_numpy()] = np.stack([found["background"].to_numpy(), found["target"].to_numpy()])
-    models = docs.sparkSession.sparkContext.broadcast(np.stack([losses(d, size, order) for d in dense]))
-
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = _table(points), models.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                code, own, tokens = _codes(part.column(1), table, order, size)
-                background, target = (np.bincount(own, b[code], len(tokens)) / tokens for b in bits)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), pa.array(target), pa.array(background), pa.array(background - target)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
-
-
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of words and of the pairs they begin, and tokens of each row: a boundary, then the row's words.
-
-    The boundary of the next row closes a row, so each token is once a context and once predicted.
+
+def _grams(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Keys of words, then of the contexts and n-grams of 2 to `order` tokens that end with the next one (contexts of
+    single words are their words), and tokens of each row: a boundary, then the row's words.
+
+    The boundary of the next row closes a row, so each token is once a context and once predicted. Tokens before a row are boundaries.
     """
     words = Words(column, cut=True, glyphs=True)
     tokens = np.diff(words.first) + 1
     stream = np.full(int(tokens.sum()), _ODD[3])
     stream[np.arange(len(words.starts)) + np.repeat(np.arange(1, len(tokens) + 1), tokens - 1)] = words.hashes()
     following = np.append(stream[1:], _ODD[3])
-    return mix(stream) | U(1), mix(stream * _ODD[4] + mix(following + _ODD[5])) & ~U(1), tokens
+    place = np.arange(len(stream)) - np.repeat(np.cumsum(tokens) - tokens, tokens)
+    context, more = stream, []
+    for n in range(2, order + 1):
+        if n > 2:
+            before = np.full(len(stream), _ODD[3])
+            before[n - 2 :] = stream[: len(stream) - n + 2]
+            context = mix(context * _ODD[6] + mix(np.where(place >= n - 2, before, _ODD[3]) + _ODD[7]))
+            more.append(mix(context + _ODD[8] * U(n)))
+        more.append(mix(context * _ODD[4] + mix(following + _ODD[5] * U(n))))
+    return mix(stream + _ODD[9]), more, tokens
 
 
 def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -171,19 +64,19 @@ def _inflated(data: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<u8").reshape(-1) for p in planes]
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, order: int):
     """(docs of a block, its in-domain ids) to the block's distinct keys with their counts, by bucket. Key 0 counts all tokens."""
 
     def run(key: tuple, docs: pa.Table, good: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         if not docs.num_rows:
             return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "counts": pa.array([], pa.binary())})
-        words, pairs, tokens = _grams(docs.column("text"))
+        words, more, tokens = _grams(docs.column("text"), order)
         inside = np.repeat(pc.is_in(docs.column("doc_id"), good.column("doc_id").combine_chunks()).to_numpy(), tokens)
-        keys, background = np.unique(np.concatenate((words, pairs, np.zeros(1, np.uint64))), return_counts=True)
+        keys, background = np.unique(np.concatenate((words, *more, np.zeros(1, np.uint64))), return_counts=True)
         background[0] = len(words)
         target = np.zeros(len(keys), np.int64)
-        own, seen = np.unique(np.concatenate((words[inside], pairs[inside])), return_counts=True)
+        own, seen = np.unique(np.concatenate([k[inside] for k in (words, *more)]), return_counts=True)
         target[np.searchsorted(keys, own)] = seen
         target[0] = inside.sum()
         at = _buckets(keys, buckets)
@@ -204,34 +97,35 @@ def _summed(part: pa.Table) -> pa.Table:
     return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "counts": pa.array(back, pa.binary())})
 
 
-def _word_losses(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    words, pairs, tokens = _grams(docs.column("text"))
-    which = np.unique(np.concatenate((words, pairs, np.zeros(1, np.uint64))), return_inverse=True)[1]
+def _losses(docs: pa.Table, counts: pa.Table, order: int) -> pa.Table:
+    words, more, tokens = _grams(docs.column("text"), order)
+    which = np.unique(np.concatenate((words, *more, np.zeros(1, np.uint64))), return_inverse=True)[1]
     got = [_inflated(c, 2) for c in counts.sort_by("bucket").column("counts").to_pylist()]
     own = np.repeat(np.arange(len(tokens)), tokens)
-    at, pair = which[: len(words)], which[len(words) : -1]
-    edge = at[0]
-    after = np.append(at[1:], edge)
+    at, *rest = np.split(which[:-1], np.arange(1, len(more) + 1) * len(words))
+    after = np.append(at[1:], at[0])
     background, target = (np.concatenate([g[k] for g in got]).astype(np.float64) for k in (0, 1))
     shared = background / background[0]  # of a word: its share of all tokens
     losses = []
     for count in (background, target):
         mass = np.maximum(1, count**HEAPS)
-        word = (count + mass[0] * shared) / (count[0] + mass[0])
-        chance = (count[pair] + mass[at] * word[after]) / (count[at] + mass[at])
+        chance = ((count + mass[0] * shared) / (count[0] + mass[0]))[after]
+        for n in range(2, order + 1):
+            context, gram = (at, rest[0]) if n == 2 else (rest[2 * n - 5], rest[2 * n - 4])
+            chance = (count[gram] + mass[context] * chance) / (count[context] + mass[context])
         losses.append(np.bincount(own, -np.log2(chance), len(tokens)) / tokens)
     return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(tokens), "loss_target": losses[1], "loss_background": losses[0], "score": losses[0] - losses[1]})
 
 
-def score_words(docs: DataFrame, in_domain: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_words(docs: DataFrame, in_domain: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text).
 
     in_domain (doc_id) names the target's rows; repeated and null ids there change nothing. Tokens are
     words with A-Z lower-cased, ASCII punctuation apart, every character of a script without blanks, and a
     boundary, so an empty or null text has one token. With c counts and m = max(1, c ** HEAPS),
-    p(w | v) = (c(v w) + m(v) p(w)) / (c(v) + m(v)) and p(w) = (c(w) + m q(w)) / (all + m), where q is
-    w's share of all rows' tokens; both models alike. Losses are bits a token. Repeated rows count each
-    time and score alike. Empty docs give no rows. Other columns are ignored.
+    p(w | u v) = (c(u v w) + m(u v) p(w | v)) / (c(u v) + m(u v)), and so on down to p(w) = (c(w) + m q(w)) / (all + m), where q
+    is w's share of all rows' tokens; both models alike. order: tokens of the longest n-grams. Losses are bits a
+    token. Repeated rows count each time and score alike. Empty docs give no rows. Other columns are ignored.
     """
     require(docs, "doc_id", "text")
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
@@ -244,10 +138,10 @@ def score_words(docs: DataFrame, in_domain: DataFrame, block_bytes: int = BLOCK_
     mine = docs.select(block(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))), "doc_id", "text")
     good = in_domain.where("doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct().select(block(F.xxhash64("doc_id")), "doc_id")
     table = "block int, bucket int, counts binary"
-    counted = mine.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_counted(buckets), table)
+    counted = mine.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_counted(buckets, order), table)
     summed = counted.groupBy("bucket").applyInArrow(_summed, table)
 
     def scored(mine: pa.Table, sums: pa.Table) -> pa.Table:
-        return _word_losses(mine.combine_chunks(), sums)
+        return _losses(mine.combine_chunks(), sums, order)
 
     return mine.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(scored, f"doc_id {kind.simpleString()}, n_tokens long, loss_target double, loss_background double, score double")
