@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require
+from .common import require, stored
 from .textkernel import code_points, slices, trimmed
 
 UNKNOWN = "und"
@@ -28,6 +28,8 @@ UNKNOWN = "und"
 ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 256, 16_384
 #: A row gives at most this many pieces, spread over its whole text.
 PIECES = 16
+#: So many times the rows of a sample are drawn by hash before they are ranked.
+DRAWN = 8
 #: So many letters have one symbol each; rarer ones of a sample have two, dealt in the order of their code points.
 SINGLES, LANE, SLICE = 53, 512, 1_500_000
 #: A letter of no sample shares the first symbol of a rarer one this near by.
@@ -235,7 +237,8 @@ def costs(texts: pa.Array, samples: dict[str, str]) -> tuple[np.ndarray, np.ndar
 def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> dict[str, str]:
     """A training text for each lang of labelled (doc_id, text, lang), from a bounded sample.
 
-    The sample is the `rows` documents with the smallest hash of each language. Of each, runs of other
+    The sample is the `rows` usable documents with the smallest hash of each language, among about DRAWN times as many that
+    the hash alone draws, so ranking reads no more however large the table is. Of each, runs of other
     characters than letters count as one blank, and up to PIECES pieces of an equal share of `chars` (64 at least)
     are spread over the whole text. All rows give their first piece, then all their second, until
     `chars` are together; null lang, null or letterless text takes no part. The result
@@ -243,7 +246,10 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
     """
     require(labelled, "doc_id", "text", "lang")
     share = max(64, chars // rows)
-    usable = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), F.trim(F.regexp_replace("text", "\\P{L}+", " ")).alias("text")).where("text <> ''")
+    known = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    part = stored(known.groupBy("lang").agg((F.lit(float(DRAWN * rows)) / F.count("*")).alias("part")))  # stored, so its size is known
+    drawn = known.join(part, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("part"))
+    usable = drawn.select("lang", "h", F.trim(F.regexp_replace("text", "\\P{L}+", " ")).alias("text")).where("text <> ''")
     sized = usable.withColumn("size", F.length("text")).withColumn("many", F.least(F.lit(PIECES), F.ceil(F.col("size") / share)).cast("int"))
     gap = (F.col("size") - share) / F.greatest(F.col("many") - 1, F.lit(1))
     pieces = sized.select("lang", "h", F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.substring("text", F.greatest(F.lit(1), F.floor(k * gap).cast("int") + 1), F.lit(share))).alias("pieces"))
