@@ -129,7 +129,7 @@ def test_sources(spark, tmp_path):
     assert io.load_corpus(spark, f"{tmp_path}/plain").count() == io.existing_or(spark, f"{tmp_path}/plain", lambda: 1 / 0).count() == 2
     with pytest.raises(ValueError, match="Parquet"):
         io.load_corpus(spark, f"{tmp_path}/t.jsonl")
-    assert io.exists(spark, io.scratch(spark)) is False
+    assert io.exists(spark, io.scratch(spark)) and io.scratch(spark) != io.scratch(spark)
     io.write_jsonl(f"{tmp_path}/r.jsonl", [{"a": math.nan}])
     assert Path(tmp_path, "r.jsonl").read_text() == '{"a": NaN}\n' and math.isnan(io.read_jsonl(f"{tmp_path}/r.jsonl")[0]["a"])
     assert io.markdown([{"m": "x", "n": 1}]) == "| m | x |\n| --- | --- |\n| n | 1 |\n"

@@ -115,11 +115,19 @@ def extract_tar(archive: str, folder: str) -> list[str]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's name under the one in spark.checkpoint.dir; a temporary one on local masters where none is set."""
+    """A new, empty folder under the one in spark.checkpoint.dir, or a temporary one on local masters where none is set.
+
+    It goes when the session's JVM ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    path = f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
