@@ -28,8 +28,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     samples = language_id.learn(docs.select("doc_id", "text", "lang"))
     if not samples:
         return docs.where("text rlike '\\\\p{L}'")
-    told = language_id.identify(_rows(docs).select("row", "row.text"), samples).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return told.select(*((F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    # Numbered names clash with none that the operator adds, and the text goes through it once.
+    numbered = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    told = language_id.identify(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in numbered.items())), samples).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return told.select(*((F.coalesce(n, "lang_pred") if c == "lang" else F.col(n)).alias(c) for c, n in numbered.items()))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +50,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least in all columns stays. Texts without words are linked with nothing and stay. No rows give none.
     """
     keyed = _rows(docs)
-    groups = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    named = groups.join(keyed.select("key", "row.doc_id").distinct(), "key")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key")
-    # Of a row that occurs many times one is kept before anything is shuffled by its key.
-    return keyed.groupBy("key").agg(F.min("row").alias("row")).join(kept.hint("merge"), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    name = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "key").alias("doc_id")  # the least of a group is the row that stays
+    told = near_dedup.near_duplicates(keyed.select(name, "row.text")).where("kept").groupBy("doc_id.key").agg(F.count("*").alias("n"))
+    kept = stored(told)
+    if kept.where("n > 1").limit(1).count():
+        keyed = keyed.groupBy("key").agg(F.min("row").alias("row"))  # before anything is shuffled by its key
+    return keyed.join(kept.select("key").hint("merge"), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
