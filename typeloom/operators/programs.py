@@ -7,7 +7,6 @@ interface: TypeChecker and Completer; a recorded one replays a table, none gives
 from __future__ import annotations
 
 import random
-import re
 import shutil
 import subprocess
 import tempfile

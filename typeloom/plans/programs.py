@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import programs
+from ..sources import io
+from ..streaming.checkpointed import check_new_files
 
 #: The program of a document, in SQL that both engines read. Shapes: arrow, typed, class, broken, comment.
 PROGRAM = """CASE doc_id % 5
@@ -271,6 +273,20 @@ def ts_evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("name", F.coalesce("token_count", F.lit(-1)).cast("long").alias("token_count"), *rounded, *flags)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS hexsha, doc_id % 5 <> 2 AND doc_id % 10 <> 7 AS ok FROM documents")
+def ts_streamed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs checked as they stream in, each key once; what is checked already isn't checked again."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("hexsha"), F.expr(PROGRAM).alias("content"))
+    folder = io.scratch(spark)
+    files.repartition(3, "hexsha").write.mode("append").parquet(folder)
+    files.where("hexsha % 4 = 0").write.mode("append").parquet(folder)  # these come in twice
+    done = io.Checkpoint(spark, io.scratch(spark))
+    done.append(files.where("hexsha % 10 = 7").select("hexsha", F.lit(False).alias("ok")))
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    check_new_files(stream, done, Counted(), io.scratch(spark)).awaitTermination()
+    return done.done()
+
+
 #: A bundle of two files, its untyped original, and a log that points into both, past the end, and at library files.
 _LOG = """CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'main.ts(4,5): error TS1: no' || chr(10) || '  more' || chr(10) || 'node_modules/x.ts(1,1): error TS2: skip'
   WHEN 2 THEN 'main.ts(5,1): error TS3: end' || chr(10) || 'main.ts(2,1): error TS4: a' ELSE 'main.ts(0,1): error TS5: one' || chr(10) || 'main.ts(0,1): error TS6: two' END"""
