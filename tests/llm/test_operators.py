@@ -410,6 +410,7 @@ def test_samples_spread_over_rows_and_texts(spark):
     rows = [(i, "".join(c * 200 for c in letters), "x") for i in range(300)] + [(500, "-" * 4000 + "zz", "y")]
     samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=8, chars=8 * 128)
     assert samples["y"] == "zz" and len(samples["x"]) == 8 * 128
+    assert len(set(samples["x"]) & set(letters)) >= 4 and set(samples["x"][:128]) != {"a"}  # not the texts' beginnings
     whole = language_id.learn(spark.createDataFrame(rows[:4], "doc_id long, text string, lang string"))
     assert len(set(whole["x"]) & set(letters)) >= language_id.PIECES
 

@@ -240,8 +240,8 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
     The sample is the `rows` usable documents with the smallest hash of each language, among about DRAWN times as many that
     the hash alone draws, so ranking reads no more however large the table is. Of each, runs of other
     characters than letters count as one blank, and up to PIECES pieces of an equal share of `chars` (64 at least)
-    are spread over the whole text. All rows give their first piece, then all their second, until
-    `chars` are together; null lang, null or letterless text takes no part. The result
+    are spread over the whole text. Every row begins with the piece that its hash says and goes round from there; all rows
+    give one piece, then all a second, until `chars` are together; null lang, null or letterless text takes no part. The result
     (languages x chars characters) is the whole model; automata are built where they are used.
     """
     require(labelled, "doc_id", "text", "lang")
@@ -255,8 +255,8 @@ def learn(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS
     pieces = sized.select("lang", "h", F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.substring("text", F.greatest(F.lit(1), F.floor(k * gap).cast("int") + 1), F.lit(share))).alias("pieces"))
     order = Window.partitionBy("lang").orderBy("h", "pieces")
     found: dict[str, list[list[str]]] = {}
-    for lang, own in pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "pieces").collect():
-        found.setdefault(lang, []).append(own)
+    for lang, h, own in pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).orderBy("lang", "n").select("lang", "h", "pieces").collect():
+        found.setdefault(lang, []).append(own[h % len(own) :] + own[: h % len(own)])
     return {lang: "\n".join(own[k] for k in range(PIECES) for own in texts if k < len(own))[:chars] for lang, texts in found.items()}
 
 
