@@ -568,3 +568,34 @@ def replace_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_and_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes, no = curate.partition_by(table(spark, sf_dir, "conversations").select("role", "turn", "text"), F.col("turn") % 2 == 0)
     return yes.unionByName(no).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, n_regionkey AS problem, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS completion, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS step FROM nation)
+SELECT 'forward' AS move, step, problem, completion FROM n UNION ALL SELECT 'backward', max(step) OVER () - step, problem, completion FROM n
+UNION ALL SELECT 'next', problem, problem, 0 FROM n WHERE completion = 0 UNION ALL SELECT 'previous', max(problem) OVER () - problem, problem, 0 FROM n WHERE completion = 0
+UNION ALL SELECT 'goto', step, problem, completion FROM n UNION ALL SELECT 'goto problem', problem, problem, 0 FROM n WHERE completion = 0
+""")
+def viewer_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks through all completions, with regions for problems and nations for completions, until a move leads nowhere."""
+    sizes = [r["count"] for r in table(spark, sf_dir, "nation").groupBy("n_regionkey").count().orderBy("n_regionkey").collect()]
+    rows: list[tuple[str, int, int, int]] = []
+    ends = {"forward": (0, 0), "backward": (len(sizes) - 1, sizes[-1] - 1), "next": (0, 0), "previous": (len(sizes) - 1, 0)}
+    for move, at in ends.items():
+        for place in range(sum(sizes) + 1):
+            rows.append((move, place, *at))
+            try:
+                at = lookup.step(at, move, sizes)
+            except IndexError:
+                break
+    named = [(p, c) for p, size in enumerate(sizes) for c in range(size)]
+    rows += [("goto", i, *lookup.goto((p, 0), f".{c}" if c % 2 else f"{p}.{c}", sizes)) for i, (p, c) in enumerate(named)]
+    rows += [("goto problem", p, *lookup.goto((0, 1), f"{p}." if p % 2 else f"{p}", sizes)) for p in range(len(sizes))]
+    return spark.createDataFrame(rows, "move string, step long, problem int, completion long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 7, 11)")
+def selected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Things picked from a list by their places."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    return spark.createDataFrame(lookup.selected(nation.collect(), [7, 3, 11]), nation.schema)
