@@ -187,12 +187,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
     # A row is known by doc_id and rk together.
     base = docs.select("doc_id", F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))).alias("rk"), "text")
     runs = base.mapInArrow(_runs(span, piece, least_words, passage), f"doc_id {kind}, rk long, at int, size int, h1 long, h2 long")
-    # A repeated row's runs are found as well, but are their own first occurrences.
-    repeated = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stored(repeated.select("h1", "h2", F.col("first.doc_id").alias("doc_id0"), F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"), "n"))
+    # Only counts meet all runs; first occurrences are sought among those that are repeated. A repeated row's runs are too, but are their own first.
+    repeated = stored(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
     # A run with over 1 / HOT of the repeated rows (fewer than HOT runs) is dealt over several keys, each of about that share.
-    share = F.ceil(F.col("n") * HOT / F.lit(first.agg(F.sum("n")).first()[0] or 1)).cast("int")
-    dealt = first.withColumn("deals", share)
+    share = F.ceil(F.col("n") * HOT / F.lit(repeated.agg(F.sum("n")).first()[0] or 1)).cast("int")
+    dealt = repeated.withColumn("deals", share)
     hot = F.broadcast(stored(dealt.where("deals > 1").select("h1", "h2", "deals")))
 
     def key(deal: Column) -> Column:
@@ -200,8 +199,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, piece: int = PIECE,
 
     mine = F.pmod(F.xxhash64("doc_id", "rk", "at"), F.col("deals")).cast("int")
     keyed = runs.join(hot, ["h1", "h2"], "left").select("doc_id", "rk", "at", "size", "h1", key(mine))
-    firsts = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", key(F.col("deal")), "doc_id0", "rk0", "at0")
-    again = keyed.join(firsts.hint("merge"), ["h1", "key"]).where(f"not (doc_id <=> doc_id0 and rk = rk0) or abs(at - at0) >= if(size >= {_IN_WORDS}, size - {_IN_WORDS}, 1)")
+    keys = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("h1", "h2", key(F.col("deal")))
+    found = stored(keyed.join(keys.hint("merge"), ["h1", "key"]))
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first")).select("h1", "h2", F.col("first.doc_id").alias("doc_id0"), F.col("first.rk").alias("rk0"), F.col("first.at").alias("at0"))
+    firsts = first.join(keys, ["h1", "h2"]).drop("h2")
+    again = found.join(firsts.hint("merge"), ["h1", "key"]).where(f"not (doc_id <=> doc_id0 and rk = rk0) or abs(at - at0) >= if(size >= {_IN_WORDS}, size - {_IN_WORDS}, 1)")
     # One number for each run, position and size; the positions it covers are spread out where the text is.
     # A set, as equal rows give equal runs: it holds no more than the runs of one text.
     gone = again.select("doc_id", "rk", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("s")).groupBy(F.col("doc_id").alias("doc_id1"), F.col("rk").alias("rk1")).agg(F.collect_set("s").alias("gone"))
